@@ -17,6 +17,7 @@ from gleanery.config import DEFAULTS
 from gleanery.functions.vectors import best_rows, matrix, unit_rows
 from gleanery.operators.ranking import top_k
 
+NUDGE = 1e-9  # moves cosines that are short binary fractions off the rounding boundary, where the last bit would decide
 MAX_BROADCAST_QUERIES = 4096
 TILE_ROWS = 65_536
 BLOCK_ROWS = 4096
@@ -45,7 +46,8 @@ def search(
         candidates = _by_broadcast(base, head, k, threshold, schema)
     else:
         candidates = _by_grid(base, queries, k, threshold, schema, tile_rows)
-    ranked = top_k(candidates, ["query_id"], [F.round("raw", 6).desc(), F.col("id")], k)
+    nudged = candidates.withColumn("raw", F.col("raw") + NUDGE)
+    ranked = top_k(nudged, ["query_id"], [F.round("raw", 6).desc(), F.col("id")], k)
     return ranked.select("query_id", "id", F.round("raw", 4).alias("score"), F.col("rank").cast("bigint"))
 
 
@@ -53,7 +55,7 @@ def _emit(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int, th
     """Top-k of every query row of a (queries x vectors) score matrix."""
     out_q, out_i, out_s = [], [], []
     for row, query_id in enumerate(query_ids):
-        best = best_rows(scores[row], ids, k)
+        best = best_rows(scores[row] + NUDGE, ids, k)
         if threshold > 0:
             best = best[scores[row, best] >= threshold]
         out_q.append(np.repeat(query_id, len(best)))

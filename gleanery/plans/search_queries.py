@@ -113,7 +113,7 @@ def _dense_sql(k: int, where: str = "true", having: str = "true") -> str:
     return f"""WITH {_CENTROIDS},
         s AS (SELECT query_id, vec_id AS id, sum(cn.x * en.x) AS raw FROM cn JOIN en USING (d) WHERE {where}
               GROUP BY ALL HAVING {having})
-        {M.ranked('s', 'raw', k, 'id')}"""
+        {M.ranked('s', 'raw + 1e-9', k, 'id')}"""
 
 
 def embedding_cache_split(spark, d):
@@ -157,13 +157,13 @@ def rrf_boosted(spark, d):
     keyword = bm25.search(docs, items, k=20, boost=False).withColumnRenamed("doc_id", "id")
     fused = fusion.reciprocal_rank_fusion([("bm25", keyword, 0.4)])
     boosted = fusion.boost_fused(fused, items, docs.select(F.col("doc_id").alias("id"), "text"))
-    return fusion.rank_fused(boosted, 20).select("query_id", "id", "rank", "rrf_score", F.round("score", 6).alias("score"))
+    return fusion.rank_fused(boosted, 20).select("query_id", "id", "rank", "rrf_score", F.round("score", 7).alias("score"))
 
 
 def hybrid_search(spark, d):
     docs = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
     return hybrid_retrieve(docs, _named_items(spark, d), HashEmbedder(DIM), k=20).select(
-        "query_id", "id", "rank", "rrf_score", F.round("score", 6).alias("score"), "source")
+        "query_id", "id", "rank", "rrf_score", F.round("score", 7).alias("score"), "source")
 
 
 def _rerank_input(spark, d):
@@ -193,7 +193,7 @@ _FUSE_BASE = f"""{_ITEMS}, {M.bm25_ctes('documents', 'items', False)},
     s AS (SELECT i.query_id, t.doc_id, coalesce(x.raw, 0) AS raw FROM ids i CROSS JOIN documents t LEFT JOIN
           (SELECT query_id, doc_id, sum(qv.x * dv.x) AS raw FROM qv JOIN dv USING (d) GROUP BY ALL) x
           ON x.query_id = i.query_id AND x.doc_id = t.doc_id),
-    dn AS ({M.ranked('s', 'raw', 20)})"""
+    dn AS ({M.ranked('s', 'raw + 1e-9', 20)})"""
 
 _RERANK_SQL = f"""WITH {_ITEMS}, {M.bm25_ctes('documents', 'items', False)},
     b AS ({M.ranked('bm25', 'raw', 20)}),
@@ -300,7 +300,7 @@ ORACLES = {
               len(list_filter({M.boost_terms('i.query_text')}, lambda t: contains(lower(d.text), t))) > 0 AS hit
               FROM b JOIN items i ON i.query_id = b.query_id JOIN documents d ON d.doc_id = b.doc_id),
         g AS (SELECT *, rrf_score * CASE WHEN hit THEN 1.5 ELSE 1.0 END AS score FROM f)
-        SELECT query_id, id, rank, rrf_score, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY
+        SELECT query_id, id, rank, rrf_score, round(score, 7) AS score FROM (SELECT *, row_number() OVER (PARTITION BY
           query_id ORDER BY round(score, 9) DESC, rrf_score DESC, seen) AS rank FROM g) WHERE rank <= 20""",
     "hybrid_search": f"""WITH {_NAMED}, xi AS MATERIALIZED ({_expansion_sql('query_text')}),
         {M.bm25_ctes('documents', 'xi', True, query_text='expanded', boost_text='expanded')},
@@ -308,14 +308,14 @@ ORACLES = {
         dv AS MATERIALIZED ({M.hash_vectors('documents', 'doc_id', 'text', DIM)}),
         qv AS ({M.hash_vectors('xi', 'query_id', 'expanded', DIM)}),
         s AS (SELECT query_id, doc_id, sum(qv.x * dv.x) AS raw FROM qv JOIN dv USING (d) GROUP BY ALL),
-        dn AS ({M.ranked('s', 'raw', 20)}),
+        dn AS ({M.ranked('s', 'raw + 1e-9', 20)}),
         u AS (SELECT *, 0 AS l, 'dense' AS source, 0.6 AS w FROM dn UNION ALL SELECT *, 1, 'bm25', 0.4 FROM b),
         f AS (SELECT query_id, doc_id AS id, round(sum(w / (60 + rank)), 6) AS rrf_score,
                 arg_max(source, score * 1000 - l * 0.00001) AS source, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL),
         g AS (SELECT f.*, rrf_score * CASE WHEN len(list_filter({M.boost_terms('i.query_text')},
                 lambda t: contains(lower(d.text), t))) > 0 THEN 1.5 ELSE 1.0 END AS score
               FROM f JOIN items i ON i.query_id = f.query_id JOIN documents d ON d.doc_id = f.id)
-        SELECT query_id, id, rank, rrf_score, round(score, 6) AS score, source FROM (SELECT *, row_number() OVER
+        SELECT query_id, id, rank, rrf_score, round(score, 7) AS score, source FROM (SELECT *, row_number() OVER
           (PARTITION BY query_id ORDER BY round(score, 9) DESC, rrf_score DESC, seen) AS rank FROM g) WHERE rank <= 20""",
     "rerank_lexical": f"{_RERANK_SQL} SELECT query_id, id, final_rank, score, ce_score FROM r WHERE final_rank <= 5",
     "rerank_summary": f"""{_RERANK_SQL} SELECT query_id, final_rank AS rank, 'bm25' AS source, ce_score,
