@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanery import constants as K
-from gleanery.functions.text import matches, strip
+from gleanery.functions.text import let, matches, strip
 
 # scheme, authority, path, query, fragment (RFC 3986, appendix B)
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?"
@@ -76,8 +76,8 @@ def without_tracking(url: Column, drop=K.TRACKING_PARAMETERS) -> Column:
         F.filter(F.split(query(u), "&"), lambda p: (F.instr(p, "=") > 0) & (F.instr(p, "=") < F.length(p))),
         lambda p: F.struct(_decode(F.substring_index(p, "=", 1)).alias("k"),
                            _decode(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v")))
-    names = F.transform(pairs, lambda p: p["k"])
-    first = F.filter(pairs, lambda p, i: (F.array_position(names, p["k"]) == i + 1) & ~p["k"].isin(*drop))
+    first = let(pairs, lambda ps: F.filter(ps, lambda p, i: (
+        F.array_position(F.transform(ps, lambda x: x["k"]), p["k"]) == i + 1) & ~p["k"].isin(*drop)))
     kept = F.array_join(F.transform(first, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
     return _assemble(scheme(u), host(u), _no_trailing_slash(path(u)), kept)
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gleanery import constants as K
 from gleanery.functions import text as T
-from gleanery.operators.ranking import top_k
 
 PROPERTIES = ("name", "title", "credits", "description", "prereqs", "url", "email", "rank", "office", "phone", "level")
 # Course and Faculty nodes collect the first non-empty value of every field; the others keep their first mention whole.
@@ -18,90 +17,89 @@ _LAST = 1_000_000
 
 
 def topic_terms(df: DataFrame, keys: list[str], text_col: str = "text", k: int = 6) -> DataFrame:
-    """(keys, topic, n, rank): the k most frequent content words, ties by first appearance."""
-    words = F.filter(
-        F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)),
-        lambda w: F.regexp_like(w, F.lit(r"\A[a-z]{4,}\z")) & ~w.isin(K.TOPIC_STOPWORDS))
-    counted = (df.select(*keys, F.posexplode(words).alias("pos", "word"))
-               .groupBy(*keys, "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos")))
-    return top_k(counted, keys, [F.col("n").desc(), F.col("pos")], k).select(
-        *keys, F.initcap("word").alias("topic"), "n", F.col("rank").cast("bigint").alias("rank"))
-
-
-def _mentions(df: DataFrame, label: str, id_: Column, order: Column, **props: Column) -> DataFrame:
-    columns = [(props[p].cast("string") if p in props else F.lit(None).cast("string")).alias(p) for p in PROPERTIES]
-    return df.select(F.lit(label).alias("label"), id_.alias("id"), F.struct("doc_no", order.alias("at")).alias("seq"), *columns)
-
-
-def _edges(df: DataFrame, src: Column, rel: str, dst: Column) -> DataFrame:
-    return df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
-
-
-def course_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_no, url, block_no, code, title, credits, block, prereqs): a code, its line and up to 15 following lines."""
-    found = docs.select("doc_no", "url", F.posexplode(T.find_all(F.col("text"), K.GRAPH_COURSE_BLOCK, 0)).alias("block_no", "block"))
-    code = T.first_match(F.col("block"), K.GRAPH_COURSE_BLOCK.split("[^", 1)[0], 1)
-    first_line = F.get(F.split("block", "\n", 2), 0)
-    return found.select(
-        "doc_no", "url", "block_no", T.normalize_code(code).alias("code"),
-        T.strip(T.first_match(first_line, K.GRAPH_TITLE, 1, ignore_case=True)).alias("title"),
-        F.nullif(T.first_match(F.col("block"), K.GRAPH_CREDITS, 1, ignore_case=True), F.lit("")).alias("credits"),
-        "block", T.prerequisite_codes(F.col("block")).alias("prereqs"))
-
-
-def extract_course_docs(docs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    blocks = course_blocks(docs)
-    topics = topic_terms(blocks, ["doc_no", "block_no", "code"], "block")
-    required = blocks.select("doc_no", "block_no", "code", F.explode("prereqs").alias("prereq"))
-    found = blocks.groupBy("doc_no").agg(F.collect_set("code").alias("found"))
+    """(keys, topic, n, rank): the k most frequent content words of every text; counted in place, without a shuffle."""
+    return df.select(*keys, F.posexplode(T.topics(F.col(text_col), k)).alias("pos", "t")).select(
+        *keys, "t.topic", F.col("t.n").cast("bigint").alias("n"), (F.col("pos") + 1).cast("bigint").alias("rank"))
+
+
+def _mention(label: str, id_: Column, at: Column, **props: Column) -> Column:
+    fields = [(props[p].cast("string") if p in props else F.lit(None).cast("string")).alias(p) for p in PROPERTIES]
+    return F.struct(F.lit(label).alias("label"), id_.alias("id"), at.cast("int").alias("at"), *fields)
+
+
+def _edge(src: Column, rel: str, dst: Column) -> Column:
+    return F.struct(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
+
+
+def course_blocks(text: Column) -> Column:
+    """Array of course blocks: a code, the rest of its line and up to 15 following lines."""
+    def fields(block):
+        code = T.first_match(block, K.GRAPH_COURSE_BLOCK.split("[^", 1)[0], 1)
+        first_line = F.get(F.split(block, "\n", 2), 0)
+        return F.struct(
+            F.upper(T.normalize_code(code)).alias("code"),
+            T.strip(T.first_match(first_line, K.GRAPH_TITLE, 1, ignore_case=True)).alias("title"),
+            F.nullif(T.first_match(block, K.GRAPH_CREDITS, 1, ignore_case=True), F.lit("")).alias("credits"),
+            F.substring(T.strip(block), 1, 600).alias("description"), T.prerequisite_codes(block).alias("prereqs"),
+            F.transform(T.topics(block), lambda t: t["topic"]).alias("topics"))
+
+    return F.transform(T.find_all(text, K.GRAPH_COURSE_BLOCK, 0), fields)
+
+
+# Every extractor appends ``mentions`` (in the order the entities are met, ``at``) and ``links``.
+def extract_course_docs(docs: DataFrame) -> DataFrame:
+    found = F.transform("blocks", lambda b: b["code"])
     codes = F.array_distinct(F.concat("courses_mentioned", T.extract_codes(F.col("text"))))
-    stubs = (docs.join(found, "doc_no", "left").withColumn(
-        "stub", F.explode(F.array_except(codes, F.coalesce("found", F.array().cast("array<string>"))))))
-    empty = F.lit("")
-    nodes = [
-        _mentions(blocks, "Course", F.upper("code"), F.col("block_no"), title=F.col("title"), credits=F.col("credits"),
-                  description=F.substring(T.strip(F.col("block")), 1, 600), prereqs=F.to_json("prereqs"), url=F.col("url")),
-        _mentions(required, "Course", F.upper("prereq"), F.col("block_no"), url=empty),
-        _mentions(topics, "Topic", F.lower("topic"), F.col("block_no") * 10 + F.col("rank").cast("int"), name=F.col("topic")),
-        _mentions(stubs, "Course", F.upper("stub"), F.lit(_LAST), url=F.col("url"), title=empty, description=empty)]
-    edges = [_edges(required, F.col("code"), "REQUIRES", F.col("prereq")),
-             _edges(topics, F.col("code"), "COVERS", F.lower("topic"))]
-    return nodes, edges
-
-
-def extract_faculty_docs(docs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    url, empty = F.col("url"), F.lit("")
+    of_block = lambda b, i: F.concat(
+        F.array(_mention("Course", b["code"], i, title=b["title"], credits=b["credits"], description=b["description"],
+                         prereqs=F.to_json(b["prereqs"]), url=url)),
+        F.transform(b["prereqs"], lambda p: _mention("Course", F.upper(p), i, url=empty)),
+        F.transform(b["topics"], lambda t: _mention("Topic", F.lower(t), i, name=t)))
+    stubs = F.transform(F.array_except(codes, found), lambda c: _mention(
+        "Course", F.upper(c), F.lit(_LAST), url=url, title=empty, description=empty))
+    links = F.flatten(F.transform("blocks", lambda b: F.concat(
+        F.transform(b["prereqs"], lambda p: _edge(b["code"], "REQUIRES", p)),
+        F.transform(b["topics"], lambda t: _edge(b["code"], "COVERS", F.lower(t))))))
+    return docs.withColumn("blocks", course_blocks(F.col("text"))).select(
+        "doc_no", F.concat(F.flatten(F.transform("blocks", of_block)), stubs).alias("mentions"), links.alias("links"))
+
+
+def extract_faculty_docs(docs: DataFrame) -> DataFrame:
     title = T.strip(F.coalesce("title", F.lit("")))
-    fallback = F.coalesce(F.get("faculty_names", 0), F.lit(""))
-    people = docs.withColumn("person", F.when(F.length(title) < 3, fallback).otherwise(title)).where("person <> ''")
-    key = F.lower(T.strip(F.col("person")))
-    areas = people.select("doc_no", key.alias("key"), F.posexplode("research_areas").alias("pos", "raw")).withColumn(
-        "area", T.normalize_area(F.col("raw")))
+    fallback = T.strip(F.coalesce(F.get("faculty_names", 0), F.lit("")))
     codes = F.array_sort(F.array_distinct(F.concat("courses_mentioned", T.extract_codes(F.col("text")))))
-    taught = people.select("doc_no", key.alias("key"), F.explode(codes).alias("code"))
-    nodes = [
-        _mentions(people, "Faculty", key, F.lit(0), name=T.strip(F.col("person")), url=F.col("url"),
-                  **{p: F.col(f"faculty_{p}") for p in ("email", "rank", "office", "phone")}),
-        _mentions(areas, "ResearchArea", F.lower("area"), F.col("pos"), name=F.col("area")),
-        _mentions(taught, "Course", F.upper("code"), F.lit(0), url=F.lit(""))]
-    edges = [_edges(areas, F.col("key"), rel, F.lower("area")) for rel in ("RESEARCHES", "AFFILIATED_WITH")]
-    return nodes, edges + [_edges(taught, F.col("key"), "TEACHES", F.col("code"))]
-
-
-def extract_research_docs(docs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    heads = docs.select("doc_no", F.posexplode("heading_path").alias("pos", "raw")).withColumn("h", T.strip(F.col("raw")))
-    low = F.lower("h")
-    heads = heads.where((F.length("h") > 3) & ~low.startswith("cse") & ~low.startswith("computer science")).withColumn(
-        "area", T.normalize_area(F.col("h")))
-    labs = docs.select("doc_no", "url", F.posexplode(
-        T.find_all(F.col("text"), K.LAB_NAME, 1, ignore_case=True, multiline=True)).alias("pos", "raw")).withColumn(
-        "lab", T.strip(F.col("raw")))
-    labs = labs.where((F.length("lab") >= 8) & ~F.lower("lab").startswith("skip") & ~F.lower("lab").startswith("search"))
-    named = docs.select("doc_no", F.posexplode("faculty_names").alias("pos", "person"))
-    nodes = [
-        _mentions(heads, "ResearchArea", F.lower("area"), F.col("pos"), name=F.col("area")),
-        _mentions(labs, "Lab", F.lower("lab"), F.col("pos"), name=F.col("lab"), url=F.col("url")),
-        _mentions(named, "Faculty", F.lower(T.strip(F.col("person"))), F.col("pos"), name=T.strip(F.col("person")), url=F.lit(""))]
-    return nodes, []
+    people = docs.withColumns({
+        "person": F.when(F.length(title) < 3, fallback).otherwise(title), "codes": codes,
+        "areas": F.transform("research_areas", T.normalize_area)}).where("person <> ''").withColumn("key", F.lower("person"))
+    key, zero = F.col("key"), F.lit(0)
+    person = _mention("Faculty", key, zero, name=F.col("person"), url=F.col("url"),
+                      **{p: F.col(f"faculty_{p}") for p in ("email", "rank", "office", "phone")})
+    return people.select(
+        "doc_no",
+        F.concat(F.array(person), F.transform("areas", lambda a: _mention("ResearchArea", F.lower(a), zero, name=a)),
+                 F.transform("codes", lambda c: _mention("Course", F.upper(c), zero, url=F.lit("")))).alias("mentions"),
+        F.concat(F.transform("areas", lambda a: _edge(key, "RESEARCHES", F.lower(a))),
+                 F.transform("areas", lambda a: _edge(key, "AFFILIATED_WITH", F.lower(a))),
+                 F.transform("codes", lambda c: _edge(key, "TEACHES", c))).alias("links"))
+
+
+_NO_LINKS = "array<struct<src:string,rel:string,dst:string>>"
+
+
+def extract_research_docs(docs: DataFrame) -> DataFrame:
+    heads = F.transform("heading_path", lambda h: T.strip(h))
+    kept = F.filter(heads, lambda h: (F.length(h) > 3) & ~F.lower(h).startswith("cse") & ~F.lower(h).startswith("computer science"))
+    labs = F.filter(
+        F.transform(T.find_all(F.col("text"), K.LAB_NAME, 1, ignore_case=True, multiline=True), lambda x: T.strip(x)),
+        lambda x: (F.length(x) >= 8) & ~F.lower(x).startswith("skip") & ~F.lower(x).startswith("search"))
+    named = F.filter(F.transform("faculty_names", lambda n: T.strip(n)), lambda n: n != "")
+    return docs.select(
+        "doc_no",
+        F.concat(F.transform(F.transform(kept, T.normalize_area), lambda a, i: _mention("ResearchArea", F.lower(a), i, name=a)),
+                 F.transform(labs, lambda x, i: _mention("Lab", F.lower(x), i, name=x, url=F.col("url"))),
+                 F.transform(named, lambda n, i: _mention("Faculty", F.lower(n), i, name=n, url=F.lit("")))).alias("mentions"),
+        F.array().cast(_NO_LINKS).alias("links"))
 
 
 def program_level(url: Column, title: Column, faithful: bool = True) -> Column:
@@ -115,28 +113,31 @@ def program_level(url: Column, title: Column, faithful: bool = True) -> Column:
             .otherwise("unknown"))
 
 
-def extract_program_docs(docs: DataFrame, faithful: bool = True) -> tuple[list[DataFrame], list[DataFrame]]:
-    titled = docs.withColumn("program", T.strip(F.coalesce("title", F.lit(""))))
-    key = F.lower("program")
-    codes = titled.select("doc_no", "program", F.explode(T.extract_codes(F.col("text"))).alias("code"))
-    nodes = [
-        _mentions(titled.where("program <> ''"), "Program", key, F.lit(0), name=F.col("program"), url=F.col("url"),
-                  level=program_level(F.col("url"), F.col("title"), faithful)),
-        _mentions(codes, "Course", F.upper("code"), F.lit(0), url=F.lit(""))]
-    return nodes, [_edges(codes.where("program <> ''"), F.col("code"), "PART_OF", key)]
+def extract_program_docs(docs: DataFrame, faithful: bool = True) -> DataFrame:
+    titled = docs.withColumns({"program": T.strip(F.coalesce("title", F.lit(""))), "codes": T.extract_codes(F.col("text"))})
+    program, zero = F.col("program"), F.lit(0)
+    node = _mention("Program", F.lower(program), zero, name=program, url=F.col("url"),
+                    level=program_level(F.col("url"), F.col("title"), faithful))
+    return titled.select(
+        "doc_no",
+        F.concat(F.filter(F.array(node), lambda m: m["id"] != ""),
+                 F.transform("codes", lambda c: _mention("Course", F.upper(c), zero, url=F.lit("")))).alias("mentions"),
+        F.filter(F.transform("codes", lambda c: _edge(c, "PART_OF", F.lower(program))), lambda e: e["dst"] != "").alias("links"))
 
 
-def extract_other_docs(docs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    codes = docs.select("doc_no", "url", F.explode(T.extract_codes(F.col("text"))).alias("code"))
-    return [_mentions(codes, "Course", F.upper("code"), F.lit(0), url=F.col("url"))], []
+def extract_other_docs(docs: DataFrame) -> DataFrame:
+    codes = T.extract_codes(F.col("text"))
+    return docs.select("doc_no", F.transform(codes, lambda c: _mention("Course", F.upper(c), F.lit(0), url=F.col("url"))).alias("mentions"),
+                       F.array().cast(_NO_LINKS).alias("links"))
 
 
 def extract_graph(docs: DataFrame, faithful_levels: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of typed documents.
 
     ``docs``: doc_no (total order), url, title, page_type, text, courses_mentioned, faculty_names, heading_path,
-    research_areas (arrays) and faculty_email/rank/office/phone. Edges are distinct; ids are lower-case names, except
-    for course codes.
+    research_areas (arrays) and faculty_email/rank/office/phone. Mentions and links are built inside each document's
+    row; the only exchanges are the two final aggregations, both combined map-side. Edges are distinct; ids are
+    lower-case names, except for course codes.
     """
     kind = F.col("page_type")
     known = (*K.COURSE_TYPES, *K.GRAPH_FACULTY_TYPES, *K.GRAPH_RESEARCH_TYPES, *K.GRAPH_PROGRAM_TYPES)
@@ -146,9 +147,11 @@ def extract_graph(docs: DataFrame, faithful_levels: bool = True) -> tuple[DataFr
         extract_research_docs(docs.where(kind.isin(*K.GRAPH_RESEARCH_TYPES))),
         extract_program_docs(docs.where(kind.isin(*K.GRAPH_PROGRAM_TYPES)), faithful_levels),
         extract_other_docs(docs.where(~kind.isin(*known)))]
-    mentions = reduce(DataFrame.unionByName, [n for nodes, _ in parts for n in nodes])
-    edges = reduce(DataFrame.unionByName, [e for _, es in parts for e in es])
-    return merge_mentions(mentions), edges.distinct()
+    rows = reduce(DataFrame.unionByName, parts)
+    mentions = rows.select("doc_no", F.explode("mentions").alias("m")).select(
+        "m.label", "m.id", F.struct("doc_no", "m.at").alias("seq"), *[f"m.{p}" for p in PROPERTIES])
+    edges = rows.select(F.explode("links").alias("e")).select("e.*").distinct()
+    return merge_mentions(mentions), edges
 
 
 def merge_mentions(mentions: DataFrame) -> DataFrame:

@@ -88,8 +88,13 @@ def _steps(edges: DataFrame) -> DataFrame:
 
 def expand(understood: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = DEFAULTS.graph_hops
            ) -> tuple[DataFrame, DataFrame]:
-    """(subgraph nodes with first hop, subgraph edges) per query, following the relations its intents admit."""
-    start = find_seeds(seeds(understood), nodes)
+    """(subgraph nodes with first hop, subgraph edges) per query, following the relations its intents admit.
+
+    Each hop is checkpointed: the next one starts from a stored frontier, whatever the depth. Pass stored (or
+    checkpointed) nodes and edges, which every hop joins again.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    start = find_seeds(seeds(understood), nodes).checkpoint()
     admitted = path_weights(understood).where(F.col("weight") >= K.PATH_GATE).select("query_id", "rel")
     steps = _steps(edges)
     reached = start.withColumn("hop", F.lit(0))
@@ -97,13 +102,11 @@ def expand(understood: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int
     for hop in range(1, hops + 1):
         moves = frontier.join(steps, ["label", "id"]).join(admitted, ["query_id", "rel"], "left_semi").select(
             "query_id", "src", "rel", "dst", "to_label", "to_id")
-        moves = moves.unionByName(_area_moves(frontier, nodes, edges)).unionByName(_program_moves(frontier, nodes, edges))
+        moves = (moves.unionByName(_area_moves(frontier, nodes, edges))
+                 .unionByName(_program_moves(frontier, nodes, edges)).distinct().checkpoint())
         travelled.append(moves.select("query_id", "src", "rel", "dst"))
         frontier = (moves.select("query_id", F.col("to_label").alias("label"), F.col("to_id").alias("id")).distinct()
                     .join(reached.select("query_id", "label", "id"), ["query_id", "label", "id"], "left_anti"))
-        if hop >= 3:  # keep plans of deep expansions short
-            ensure_checkpoint_dir(nodes.sparkSession)
-            frontier = frontier.checkpoint()
         reached = reached.unionByName(frontier.withColumn("hop", F.lit(hop)))
     return reached, reduce(DataFrame.unionByName, travelled).distinct()
 
@@ -244,7 +247,8 @@ def guided_chunks(sub_nodes: DataFrame, chunks: DataFrame, k: int = 8, area_k: i
 def graph_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, hops: int = DEFAULTS.graph_hops,
                    k: int = 8) -> DataFrame:
     """(query_id, id, text, score, source, rank): one evidence row, then the guided chunks."""
-    understood = understand(queries)
+    ensure_checkpoint_dir(nodes.sparkSession)
+    understood = understand(queries).checkpoint()
     sub_nodes, sub_edges = expand(understood, nodes, edges, hops)
     facts = evidence(understood, sub_nodes, sub_edges, nodes).select(
         "query_id", "id", "text", "score", F.lit("graph").alias("source"), F.lit(1).cast("bigint").alias("rank"))

@@ -97,32 +97,30 @@ def course_records(text: Column, block: str = K.COURSE_BLOCK, tail: int = 600) -
     The text is cut at the block matches: occurrence i's description runs from the end of its match to the next course
     code, or ``tail`` characters when no code follows.
     """
-    whole = T.find_all(text, block, 0)
-    codes, titles, credits = (T.find_all(text, block, g) for g in (1, 2, 3))
-
     # positions are found left to right; each search starts behind the previous match
-    starts = F.aggregate(
+    ends = lambda whole: F.aggregate(
         whole, F.struct(F.lit(1).alias("pos"), F.array().cast("array<int>").alias("ends")),
         lambda acc, m: F.struct(
             (F.position(m, text, acc["pos"]) + F.length(m)).alias("pos"),
             F.concat(acc["ends"], F.array(F.position(m, text, acc["pos"]) + F.length(m))).alias("ends")))["ends"]
 
-    def record(m, i):
-        rest = F.substring(text, F.get(starts, i), F.length(text))
+    def record(m, end):
+        code, title, credits = (F.regexp_extract(m, T.rx(f"^{block}\\z"), g) for g in (1, 2, 3))
+        rest = F.substring(text, end, F.length(text))
         before_next = F.get(F.split(rest, T.rx(K.CODE_LOOSE, ignore_case=True), 2), 0)
         has_next = T.matches(rest, K.CODE_LOOSE, ignore_case=True)
         described = F.when(has_next, before_next).otherwise(F.substring(rest, 1, tail))
-        description = F.substring(T.collapse(T.strip(described)), 1, 400)
-        listed = T.first_match(description, K.COURSE_PREREQ_LINE, 1, ignore_case=True)
-        return F.struct(
-            T.normalize_code(F.get(codes, i)).alias("code"),
-            F.regexp_replace(T.strip(F.get(titles, i)), r"[,;:.]+\z", "").alias("title"),
-            F.coalesce(F.nullif(F.get(credits, i), F.lit("")), F.lit("3")).alias("credits"),
+        return T.let(F.substring(T.collapse(T.strip(described)), 1, 400), lambda description: F.struct(
+            T.normalize_code(code).alias("code"),
+            F.regexp_replace(T.strip(title), r"[,;:.]+\z", "").alias("title"),
+            F.coalesce(F.nullif(credits, F.lit("")), F.lit("3")).alias("credits"),
             description.alias("description"),
-            F.transform(T.find_all(listed, K.CODE_LOOSE, 1, ignore_case=True), T.normalize_code).alias("prereqs"))
+            F.transform(T.find_all(T.first_match(description, K.COURSE_PREREQ_LINE, 1, ignore_case=True), K.CODE_LOOSE, 1,
+                                   ignore_case=True), lambda c: T.normalize_code(c)).alias("prereqs")))
 
-    records = F.transform(whole, record)
-    return F.filter(records, lambda r, i: F.array_position(F.transform(records, lambda x: x["code"]), r["code"]) == i + 1)
+    records = T.let(T.find_all(text, block, 0), lambda whole: F.zip_with(whole, ends(whole), record))
+    return T.let(records, lambda rs: F.filter(rs, lambda r, i: (
+        F.array_position(F.transform(rs, lambda x: x["code"]), r["code"]) == i + 1)))
 
 
 def distinct_pages(pages: DataFrame, key: str, order: list[str]) -> DataFrame:
