@@ -179,100 +179,6 @@ def keep_first_lines(lines: Column) -> Column:
     return strip(F.array_join(F.transform(back, lambda x: x["s"]), "\n"))
 
 
-# --- course codes ---------------------------------------------------------------------------------
-def extract_codes(c: Column) -> Column:
-    """Sorted distinct normalized codes ("cse 474a" -> "CSE 474A") found by the case-sensitive pattern."""
-    numbers = find_all(c, K.CODE_STRICT, 2)
-    return F.array_sort(F.array_distinct(
-        F.transform(numbers, lambda n: F.concat(F.lit(K.CODE_PREFIX + " "), F.upper(n)))))
-
-
-def normalize_code(c: Column) -> Column:
-    """Any spelling that the loose pattern accepts to "CSE nnn"; upper-cases the suffix letter."""
-    return F.concat(F.lit(K.CODE_PREFIX + " "), F.upper(F.regexp_replace(F.substring(c, 4, 64), r"(?U)\s+", "")))
-
-
-def loose_codes(c: Column) -> Column:
-    """Codes as the page extractor records them: a spelling the strict pattern rejects stays as written."""
-    def fix(raw):
-        number = first_match(raw, K.CODE_STRICT, 2)
-        return F.when(number != "", F.concat(F.lit(K.CODE_PREFIX + " "), F.upper(number))).otherwise(raw)
-
-    return F.array_sort(F.array_distinct(F.transform(find_all(c, K.CODE_LOOSE, 1, ignore_case=True), fix)))
-
-
-# --- tokens ---------------------------------------------------------------------------------------
-_MARK = "\u0001"
-
-
-def tokens(c: Column) -> Column:
-    """Lower-cased alphanumeric runs longer than one character and not stop words; codes keep "CSE 574A" spelling."""
-    low = F.lower(c)
-    marked = replace_all(low, r"\b(cse)\s*(\d{3}[a-z]?)\b", f"{_MARK}$1 {_MARK}$2")
-    plain = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    special = F.transform(
-        F.regexp_extract_all(marked, F.lit(f"{_MARK}?[a-z0-9]+"), F.lit(0)),
-        lambda t: F.when(t.startswith(_MARK), F.upper(F.substring(t, 2, 64))).otherwise(t))
-    raw = F.when(F.contains(low, F.lit("cse")), special).otherwise(plain)
-    return F.filter(raw, lambda t: (F.length(t) > 1) & ~t.isin(K.STOPWORDS))
-
-
-def boost_terms(c: Column) -> Column:
-    """Distinct lower-case terms worth an exact-match boost: codes (with and without space) and name words."""
-    codes = F.transform(extract_codes(c), F.lower)
-    joined = F.transform(codes, lambda t: F.replace(t, F.lit(" "), F.lit("")))
-    names = F.flatten(F.transform(find_all(c, K.TITLE_NAME, 1), lambda n: F.split(F.lower(n), r"(?U)\s+")))
-    return F.array_distinct(F.concat(codes, joined, F.filter(names, lambda w: F.length(w) > 2)))
-
-
-def expand_query(c: Column, expansions=K.EXPANSIONS, anchored: bool = False) -> Column:
-    """Append the words of every expansion whose pattern occurs; each step sees what earlier steps appended."""
-    rules = F.array(*[
-        F.struct(F.lit(rx(rf"\b(?:{p})\b" if anchored else p, ignore_case=True)).alias("p"), F.lit(" " + w).alias("w"))
-        for p, w in expansions])
-    return strip(F.aggregate(
-        rules, c, lambda q, r: F.when(F.regexp_like(q, r["p"]), F.concat(q, r["w"])).otherwise(q)))
-
-
-def normalize_area(c: Column) -> Column:
-    """Canonical research-area name: alias table, else title case."""
-    aliases = F.create_map(*[F.lit(x) for kv in K.AREA_ALIASES.items() for x in kv])
-    return F.coalesce(F.try_element_at(aliases, F.lower(strip(c))), title_case(strip(c)))
-
-
-def prerequisite_codes(c: Column, pattern: str = K.GRAPH_PREREQ) -> Column:
-    spans = find_all(c, pattern, 1, ignore_case=True)
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(spans, extract_codes))))
-
-
-def headings(c: Column) -> Column:
-    return find_all(c, K.HEADING_LINE, 1, multiline=True)
-
-
-def clean_lines(c: Column) -> Column:
-    """Drop JSON blobs, noise lines, lines with few letters (unless they name a course) and repeated lines."""
-    text = F.regexp_replace(c, rx(K.JSON_BLOB), "")
-    lines = F.transform(F.split(text, "\n"), strip)
-    keep = F.filter(lines, lambda s: (
-        (F.length(s) >= 2)
-        & ~matches(s, K.NOISE_LINE, ignore_case=True)
-        & (matches(s, K.CODE_LOOSE, ignore_case=True) | (F.length(s) <= 5) | (alpha_ratio(s) >= 0.40))))
-    return keep_first_lines(keep)
-
-
-def keep_first_lines(lines: Column) -> Column:
-    """Join the lines, keeping the first of those equal up to case and white space.
-
-    The lines are sorted with their positions, the first of every run of equal keys is kept, and the rest is put back
-    into the order of the text.
-    """
-    tagged = F.transform(lines, lambda s, i: F.struct(collapse(F.lower(s)).alias("k"), i.alias("i"), s.alias("s")))
-    ordered = F.array_sort(tagged)  # equal keys become neighbours, smallest position first
-    firsts = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["k"] != x["k"]))
-    back = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
-    return strip(F.array_join(F.transform(back, lambda x: x["s"]), "\n"))
-
-
 # --- counting inside a row ------------------------------------------------------------------------
 def value_counts(values: Column) -> Column:
     """Array of (v, n, first) for the distinct values of an array, in value order.

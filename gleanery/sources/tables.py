@@ -4,6 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+TEXT_TABLES = ("documents", "pages", "conversations")  # the tables whose rows are costly to process
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table stored in fewer splits than there are cores; a no-op for tables of ordinary size.
+
+    A file with one row group is one task, however costly the expressions on it are. Column pruning and filters still
+    reach the scan through the round-robin exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
