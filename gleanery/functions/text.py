@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import constants as K
@@ -39,6 +39,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def unnest(df: DataFrame, array: Column, name: str, *keep) -> DataFrame:
+    """One row per array element, next to the kept columns; elements must not be null.
+
+    A plain ``explode`` makes the optimizer add a "not empty" filter below it, which evaluates a computed array again.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def pos_unnest(df: DataFrame, array: Column, pos: str, name: str, *keep) -> DataFrame:
+    """``unnest`` with the element's position."""
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).where(F.col(pos).isNotNull())
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
@@ -60,7 +73,7 @@ def word_count(c: Column) -> Column:
 
 
 def alpha_ratio(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\p{L}")) / F.greatest(F.length(c), F.lit(1))
+    return F.length(F.regexp_replace(c, r"[^\p{L}]+", "")) / F.greatest(F.length(c), F.lit(1))
 
 
 def truncate(c: Column, max_chars: int = 300) -> Column:
@@ -85,12 +98,18 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
 
 
+def _no_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
 # --- course codes ---------------------------------------------------------------------------------
 def extract_codes(c: Column) -> Column:
     """Sorted distinct normalized codes ("cse 474a" -> "CSE 474A") found by the case-sensitive pattern."""
     numbers = find_all(c, K.CODE_STRICT, 2)
-    return F.array_sort(F.array_distinct(
+    codes = F.array_sort(F.array_distinct(
         F.transform(numbers, lambda n: F.concat(F.lit(K.CODE_PREFIX + " "), F.upper(n)))))
+    # most texts name no course: a plain substring test spares them the pattern
+    return F.when(F.contains(c, F.lit("CSE")) | F.contains(c, F.lit("cse")), codes).otherwise(_no_strings())
 
 
 def normalize_code(c: Column) -> Column:
@@ -104,7 +123,8 @@ def loose_codes(c: Column) -> Column:
         number = first_match(raw, K.CODE_STRICT, 2)
         return F.when(number != "", F.concat(F.lit(K.CODE_PREFIX + " "), F.upper(number))).otherwise(raw)
 
-    return F.array_sort(F.array_distinct(F.transform(find_all(c, K.CODE_LOOSE, 1, ignore_case=True), fix)))
+    codes = F.array_sort(F.array_distinct(F.transform(find_all(c, K.CODE_LOOSE, 1, ignore_case=True), fix)))
+    return F.when(F.contains(F.lower(c), F.lit("cse")), codes).otherwise(_no_strings())
 
 
 # --- tokens ---------------------------------------------------------------------------------------
@@ -162,7 +182,7 @@ def clean_lines(c: Column) -> Column:
     keep = F.filter(lines, lambda s: (
         (F.length(s) >= 2)
         & ~matches(s, K.NOISE_LINE, ignore_case=True)
-        & (matches(s, K.CODE_LOOSE, ignore_case=True) | (F.length(s) <= 5) | (alpha_ratio(s) >= 0.40))))
+        & ((F.length(s) <= 5) | (alpha_ratio(s) >= 0.40) | matches(s, K.CODE_LOOSE, ignore_case=True))))
     return keep_first_lines(keep)
 
 

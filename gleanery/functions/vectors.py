@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+
+
 def l2_normalized(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
@@ -32,6 +35,11 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.where(norms > 0, norms, 1.0)
 
 
+def order_keys(ids: np.ndarray) -> np.ndarray:
+    """Integers that sort like the ids."""
+    return np.unique(ids.astype(str), return_inverse=True)[1] if ids.dtype == object else ids
+
+
 def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best entries by (score rounded to 6 digits descending, id ascending)."""
     rounded = np.round(scores, 6)

@@ -1,23 +1,31 @@
 """Inverted index and BM25 (Okapi) search over a batch of queries.
 
-The corpus is tokenized in place; only tokens that occur in some query survive to the one exchange, which is keyed by
-document, so term frequencies, scores and the first half of the top-k are all computed without a further shuffle.
+A batch of queries of checked size is scored where the documents lie: each Arrow batch of token lists is scored by one
+matrix product against the query weights and ships only its own top-k, so the corpus is never shuffled. A larger batch
+is joined relationally: only tokens that occur in some query survive to one exchange, keyed by document.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.config import DEFAULTS
 from gleanery.functions import text as T
+from gleanery.functions.vectors import ARROW, best_rows, order_keys
 from gleanery.operators.ranking import top_k
 from gleanery.operators.textjoin import contains_pairs
 from gleanery.plans.sizing import broadcast_if_small
 
 MAX_INLINE_BOOSTS = 500
+MAX_INLINE_WEIGHTS = 200_000
+MAX_INLINE_CELLS = 8_000_000  # terms x queries of the weight matrix (64 MB)
+CHUNK_CELLS = 2_000_000
 _BOOST = "\u0002"  # prefix of pseudo-terms that mark "the text contains this boost term"
 
 
@@ -31,7 +39,7 @@ class Bm25:
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df): one row per vocabulary entry; combined map-side before the exchange."""
-    return (docs.select(F.explode(F.array_distinct(T.tokens(F.col(text_col)))).alias("term"))
+    return (T.unnest(docs, F.array_distinct(T.tokens(F.col(text_col))), "term")
             .groupBy("term").agg(F.count("*").alias("df")))
 
 
@@ -73,7 +81,7 @@ class Bm25Index:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Bm25 = Bm25()) -> Bm25Index:
     tokenized = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("tokens"))
-    postings = (tokenized.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    postings = (T.unnest(tokenized, F.col("tokens"), "term", "doc_id", F.size("tokens").alias("dl"))
                 .groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"))
     stats = corpus_statistics(docs, text_col)
     terms = inverse_frequencies(document_frequencies(docs, text_col), stats.select("n_docs").scalar(), params.epsilon)
@@ -120,8 +128,7 @@ def _with_boost_marks(docs, queries, exploded, id_col: str, text: Column, query_
     if len(few) <= MAX_INLINE_BOOSTS:
         marks = [F.when(F.contains(F.col("low"), F.lit(t)), F.lit(_BOOST + t)) for t in sorted(few)]
         tokenized = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text).alias("tokens"), F.lower(text).alias("low"))
-        return tokenized.select("doc_id", F.size("tokens").alias("dl"), F.explode(
-            F.concat("tokens", F.array_compact(F.array(*marks)))).alias("term"))
+        return T.unnest(tokenized, F.concat("tokens", F.array_compact(F.array(*marks))), "term", "doc_id", F.size("tokens").alias("dl"))
     pairs = contains_pairs(docs.select(F.col(id_col).alias("id"), F.lower(text).alias("text")), boosts)
     return exploded.unionByName(pairs.select(
         F.col("id").alias("doc_id"), F.lit(None).cast("int").alias("dl"), F.concat(F.lit(_BOOST), "pattern").alias("term")))
@@ -137,18 +144,30 @@ def search(
     text_col: str = "text",
     query_text: str = "query_text",
     boost_text: str | None = None,
+    max_inline_weights: int = MAX_INLINE_WEIGHTS,
 ) -> DataFrame:
-    """Ranked (query_id, doc_id, score, rank) straight from the documents."""
+    """Ranked (query_id, doc_id, score, rank) straight from the documents.
+
+    ``max_inline_weights`` bounds the (query, term) rows that may be shipped to the tasks; 0 forces the relational plan.
+    """
     stats = corpus_statistics(docs, text_col)
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     wanted = broadcast_if_small(query_terms(queries, boost, query_text, boost_text))
     idf = inverse_frequencies(document_frequencies(docs, text_col), n_docs, params.epsilon)
-    weights = broadcast_if_small(
-        idf.join(wanted, "term", "right").select("query_id", "term", "qtf", "is_boost", "idf"))
+    weighted = idf.join(wanted, "term", "right").select("query_id", "term", "qtf", "is_boost", "idf")
+    if max_inline_weights:
+        rows = weighted.limit(max_inline_weights + 1).collect()
+        cells = len({r["term"] for r in rows}) * len({r["query_id"] for r in rows})
+        if (len(rows) <= max_inline_weights and cells <= MAX_INLINE_CELLS
+                and len({r["term"] for r in rows if r["is_boost"]}) <= MAX_INLINE_BOOSTS):
+            return _search_in_place(docs, rows, stats.first()["avgdl"], k, params, id_col, text_col,
+                                    queries.schema["query_id"].dataType.simpleString())
+        weighted = queries.sparkSession.createDataFrame(rows, weighted.schema) if len(rows) <= max_inline_weights else weighted
+    weights = broadcast_if_small(weighted)
 
     col = F.col(text_col)
-    exploded = docs.select(F.col(id_col).alias("doc_id"), T.tokens(col).alias("tokens")).select(
-        "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    tokenized = docs.select(F.col(id_col).alias("doc_id"), T.tokens(col).alias("tokens"))
+    exploded = T.unnest(tokenized, F.col("tokens"), "term", "doc_id", F.size("tokens").alias("dl"))
     if boost:
         exploded = _with_boost_marks(docs, queries, exploded, id_col, col, boost_text or query_text)
     postings = (exploded.join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi")
@@ -159,6 +178,65 @@ def search(
     return _rank(parts, k, params)
 
 
+def _search_in_place(docs: DataFrame, rows: list, avgdl: float, k: int, params: Bm25, id_col: str, text_col: str,
+                     query_type: str) -> DataFrame:
+    """Score whole documents against a weight matrix inside the scan; only top-k rows leave a batch."""
+    spark = docs.sparkSession
+    id_type = docs.schema[id_col].dataType.simpleString()
+    schema = f"query_id {query_type}, doc_id {id_type}, raw double"
+    query_ids = sorted({r["query_id"] for r in rows})
+    place = {q: i for i, q in enumerate(query_ids)}
+    plain = [r for r in rows if not r["is_boost"] and r["idf"] is not None]
+    marks = [r for r in rows if r["is_boost"]]
+    vocabulary = sorted({r["term"] for r in plain})
+    column = {t: i for i, t in enumerate(vocabulary)}
+    weights = np.zeros((len(vocabulary), len(query_ids)))
+    for r in plain:
+        weights[column[r["term"]], place[r["query_id"]]] = r["qtf"] * r["idf"]
+    boosted = sorted({r["term"][len(_BOOST):] for r in marks})
+    wants = np.zeros((len(boosted), len(query_ids)), dtype=bool)
+    for r in marks:
+        wants[boosted.index(r["term"][len(_BOOST):]), place[r["query_id"]]] = True
+    shared = spark.sparkContext.broadcast((np.array(query_ids), pa.array(vocabulary, pa.string()), weights, boosted, wants))
+    k1, b, factor = params.k1, params.b, params.boost
+    out = pa.schema([(name, ARROW[kind]) for name, kind in (f.split(" ") for f in schema.split(", "))])
+
+    def score(batches):
+        names, vocab, w, boost_terms, wanted = shared.value
+        height = max(16, CHUNK_CELLS // max(w.shape[0], w.shape[1], 1))
+        for whole in batches:
+            for start in range(0, whole.num_rows, height):
+                batch = whole.slice(start, height)
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                lists = batch.column("tokens")
+                lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                term = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(ids)), lengths)
+                cell, tf = np.unique(row[term >= 0] * len(vocab) + term[term >= 0], return_counts=True)
+                at, which = cell // max(len(vocab), 1), cell % max(len(vocab), 1)
+                dense = np.zeros((len(ids), len(vocab)))
+                dense[at, which] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[at] / avgdl))
+                scores = dense @ w
+                for n in range(len(boost_terms)):
+                    hit = batch.column(f"has_{n}").to_numpy(zero_copy_only=False).astype(bool)
+                    flags = hit[:, None] & wanted[n][None, :] if n == 0 else flags | (hit[:, None] & wanted[n][None, :])
+                if boost_terms:
+                    scores = np.where(flags, scores * factor, scores)
+                keys = order_keys(ids)
+                found = [best_rows(scores[:, q], keys, k) for q in range(len(names))]
+                found = [best[scores[best, q] > 0] for q, best in enumerate(found)]
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": np.repeat(names, [len(f) for f in found]), "doc_id": ids[np.concatenate(found)],
+                    "raw": np.concatenate([scores[f, q] for q, f in enumerate(found)])}, schema=out)
+
+    text = F.col(text_col)
+    flags = [F.contains(F.col("low"), F.lit(t)).alias(f"has_{n}") for n, t in enumerate(boosted)]
+    prepared = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text).alias("tokens"), F.lower(text).alias("low")).select(
+        "doc_id", "tokens", *flags)
+    ranked = top_k(prepared.mapInArrow(score, schema), ["query_id"], [F.round("raw", 6).desc(), F.col("doc_id")], k)
+    return ranked.select("query_id", "doc_id", F.round("raw", 4).alias("score"), F.col("rank").cast("bigint"))
+
+
 def search_index(index: Bm25Index, queries: DataFrame, k: int = DEFAULTS.bm25_top_k, params: Bm25 = Bm25(),
                  query_text: str = "query_text") -> DataFrame:
     """Search a stored index (no boosts, which need the texts)."""

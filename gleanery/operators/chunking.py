@@ -188,7 +188,7 @@ def chunk_atomic(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def chunk_courses(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One chunk per course record found in the text."""
-    found = docs.select(*_META, F.posexplode(course_records(F.col("text"), K.COURSE_BLOCK_80, 500)).alias("chunk_index", "c"))
+    found = T.pos_unnest(docs, course_records(F.col("text"), K.COURSE_BLOCK_80, 500), "chunk_index", "c", *_META)
     listed = F.when(F.size("c.prereqs") > 0, F.concat(F.lit("Prerequisites: "), F.array_join("c.prereqs", ", "), F.lit("\n"))).otherwise("")
     body = F.when(F.col("c.description") != "", F.concat(F.lit("\n"), "c.description")).otherwise("")
     text = F.concat("c.code", F.lit(" — "), "c.title", F.lit("\nCredits: "), "c.credits", F.lit("\n"), listed, body)
@@ -199,7 +199,7 @@ def chunk_courses(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def sections(docs: DataFrame) -> DataFrame:
     """(section_no, heading, text) of every ``## `` section; section 0 takes the title and loses its first line."""
-    parts = docs.select(*_META, F.posexplode(F.split("text", r"(?U)\n##\s+")).alias("section_no", "part"))
+    parts = T.pos_unnest(docs, F.split("text", r"(?U)\n##\s+"), "section_no", "part", *_META)
     parts = parts.withColumn("part", T.strip(F.col("part"))).where(F.col("part") != "")
     lines = F.split("part", "\n", 2)
     heading = F.when(F.col("section_no") > 0, T.strip(F.get(lines, 0))).otherwise(F.col("title"))
@@ -215,22 +215,21 @@ def chunk_sections(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     short = T.word_count(F.col("text")) <= settings.chunk_size
     whole = parts.where(short).select(*_META, "text", F.col("section_no").alias("chunk_index"), "heading",
                                       F.lit("section").alias("chunk_strategy"))
-    pieces = parts.where(~short).select(*_META, "section_no", "heading", F.explode(
-        sentence_pieces(F.col("text"), _reserved(), settings)).alias("p"))
+    pieces = T.unnest(parts.where(~short), sentence_pieces(F.col("text"), _reserved(), settings), "p", *_META, "section_no", "heading")
     split = pieces.select(*_META, F.col("p.text").alias("text"), (F.col("section_no") * 100 + F.col("p.i")).alias("chunk_index"),
                           "heading", F.lit("section_split").alias("chunk_strategy"))
     return _finish(whole.unionByName(split), settings)
 
 
 def chunk_sentences(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    pieces = docs.select(*_META, F.explode(sentence_pieces(F.col("text"), _reserved(), settings)).alias("p"))
+    pieces = T.unnest(docs, sentence_pieces(F.col("text"), _reserved(), settings), "p", *_META)
     return _finish(pieces.select(*_META, F.col("p.text").alias("text"), F.col("p.i").alias("chunk_index"),
                                  _nth_heading(F.col("p.i")).alias("heading"), F.lit("sentence").alias("chunk_strategy")), settings)
 
 
 def chunk_semantic(docs: DataFrame, embedder: Embedder, settings: Settings = DEFAULTS) -> DataFrame:
     long = docs.where(T.word_count(F.col("text")) >= settings.semantic_min_words)
-    pieces = long.select(*_META, F.explode(semantic_pieces(F.col("text"), embedder, settings)).alias("p"))
+    pieces = T.unnest(long, semantic_pieces(F.col("text"), embedder, settings), "p", *_META)
     return _finish(pieces.select(*_META, F.col("p.text").alias("text"), F.col("p.i").alias("chunk_index"),
                                  _nth_heading(F.col("p.i")).alias("heading"), F.lit("semantic").alias("chunk_strategy")), settings)
 
@@ -250,7 +249,7 @@ def chunk_documents(docs: DataFrame, embedder: Embedder, settings: Settings = DE
 def chunk_legacy(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Older splitter: title in front, recursive character windows, parts under the minimum length dropped."""
     text = F.when(F.col("title") != "", F.concat("title", F.lit("\n\n"), "content")).otherwise(F.col("content"))
-    pieces = docs.select("url", "title", "page_type", "source", "filename", F.explode(recursive_pieces(text, settings)).alias("p"))
+    pieces = T.unnest(docs, recursive_pieces(text, settings), "p", "url", "title", "page_type", "source", "filename")
     return pieces.where(F.length("p.text") >= settings.legacy_min_chars).select(
         "url", "title", "page_type", "source", "filename", F.col("p.text").alias("text"), F.col("p.i").alias("chunk_idx"))
 

@@ -14,14 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.config import DEFAULTS
-from gleanery.functions.vectors import best_rows, matrix, unit_rows
+from gleanery.functions.vectors import ARROW, best_rows, matrix, order_keys, unit_rows
 from gleanery.operators.ranking import top_k
 
 NUDGE = 1e-9  # moves cosines that are short binary fractions off the rounding boundary, where the last bit would decide
 MAX_BROADCAST_QUERIES = 4096
 TILE_ROWS = 65_536
 BLOCK_ROWS = 4096
-_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
 def search(
@@ -54,8 +53,9 @@ def search(
 def _emit(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int, threshold: float) -> dict:
     """Top-k of every query row of a (queries x vectors) score matrix."""
     out_q, out_i, out_s = [], [], []
+    keys = order_keys(ids)
     for row, query_id in enumerate(query_ids):
-        best = best_rows(scores[row] + NUDGE, ids, k)
+        best = best_rows(scores[row] + NUDGE, keys, k)
         if threshold > 0:
             best = best[scores[row, best] >= threshold]
         out_q.append(np.repeat(query_id, len(best)))
@@ -72,7 +72,7 @@ def _by_broadcast(base: DataFrame, query_rows: list, k: int, threshold: float, s
         np.array([r["query_id"] for r in query_rows]),
         unit_rows(np.array([r["embedding"] for r in query_rows], dtype=np.float64))))
 
-    out = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split(" ") for f in schema.split(", "))])
+    out = pa.schema([(name, ARROW[kind]) for name, kind in (f.split(" ") for f in schema.split(", "))])
 
     def score(batches):
         query_ids, q = block.value

@@ -13,12 +13,13 @@ from gleanery.functions import text as T
 PROPERTIES = ("name", "title", "credits", "description", "prereqs", "url", "email", "rank", "office", "phone", "level")
 # Course and Faculty nodes collect the first non-empty value of every field; the others keep their first mention whole.
 MERGED_LABELS = ("Course", "Faculty")
-_LAST = 1_000_000
+_SLOTS = 1 << 20  # mention order is doc_no * _SLOTS + position in the document, so doc_no stays below 2**43
+_LAST = _SLOTS - 1
 
 
 def topic_terms(df: DataFrame, keys: list[str], text_col: str = "text", k: int = 6) -> DataFrame:
     """(keys, topic, n, rank): the k most frequent content words of every text; counted in place, without a shuffle."""
-    return df.select(*keys, F.posexplode(T.topics(F.col(text_col), k)).alias("pos", "t")).select(
+    return T.pos_unnest(df, T.topics(F.col(text_col), k), "pos", "t", *keys).select(
         *keys, "t.topic", F.col("t.n").cast("bigint").alias("n"), (F.col("pos") + 1).cast("bigint").alias("rank"))
 
 
@@ -148,17 +149,19 @@ def extract_graph(docs: DataFrame, faithful_levels: bool = True) -> tuple[DataFr
         extract_program_docs(docs.where(kind.isin(*K.GRAPH_PROGRAM_TYPES)), faithful_levels),
         extract_other_docs(docs.where(~kind.isin(*known)))]
     rows = reduce(DataFrame.unionByName, parts)
-    mentions = rows.select("doc_no", F.explode("mentions").alias("m")).select(
-        "m.label", "m.id", F.struct("doc_no", "m.at").alias("seq"), *[f"m.{p}" for p in PROPERTIES])
-    edges = rows.select(F.explode("links").alias("e")).select("e.*").distinct()
+    mentions = T.unnest(rows, F.col("mentions"), "m", "doc_no").select(
+        "m.label", "m.id", (F.col("doc_no") * _SLOTS + F.col("m.at")).alias("seq"), *[f"m.{p}" for p in PROPERTIES])
+    edges = T.unnest(rows, F.col("links"), "e").select("e.*").distinct()
     return merge_mentions(mentions), edges
 
 
 def merge_mentions(mentions: DataFrame) -> DataFrame:
-    """One row per (label, id), in one combined aggregation however often an entity is mentioned.
+    """One row per (label, id), however often an entity is mentioned.
 
-    Merged labels take the first non-empty value of each field by mention order, the others the first mention's value.
+    Equal mentions collapse first, in a hash aggregation that keeps their earliest position; what is left per entity is
+    merged. Merged labels take the first non-empty value of each field by mention order, the others the first mention.
     """
+    mentions = mentions.groupBy("label", "id", *PROPERTIES).agg(F.min("seq").alias("seq"))
     first = lambda p: F.min_by(F.coalesce(p, F.lit("")), "seq")
     filled = lambda p: F.min_by(p, F.when(F.col(p) != "", F.col("seq")))
     columns = [F.when(F.col("label").isin(*MERGED_LABELS), F.coalesce(filled(p), F.lit(""))).otherwise(first(p)).alias(p)

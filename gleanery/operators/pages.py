@@ -142,7 +142,7 @@ def block_keys(text: Column, separator: str = "\n{2,}") -> Column:
 
 def block_counts(docs: DataFrame, text_col: str, separator: str = "\n{2,}", min_chars: int = 20) -> DataFrame:
     """(block, n): occurrences of every block of at least ``min_chars`` characters."""
-    return (docs.select(F.explode(block_keys(F.col(text_col), separator)).alias("block"))
+    return (T.unnest(docs, block_keys(F.col(text_col), separator), "block")
             .where(F.length("block") >= min_chars).groupBy("block").agg(F.count("*").alias("n")))
 
 
@@ -155,9 +155,9 @@ def strip_boilerplate(
     Only 16-byte block digests are shuffled. Each document learns which of its own blocks to drop and filters them in
     place, so texts are exchanged at most once, and not at all while the list of affected documents is small.
     """
-    digests = docs.select(F.col(id_col), F.explode(F.array_distinct(F.transform(
-        F.filter(block_keys(F.col(text_col), separator), lambda b: F.length(b) >= min_chars), F.md5))).alias("digest"))
-    frequent = (docs.select(F.explode(block_keys(F.col(text_col), separator)).alias("block"))
+    digests = T.unnest(docs, F.array_distinct(F.transform(
+        F.filter(block_keys(F.col(text_col), separator), lambda b: F.length(b) >= min_chars), F.md5)), "digest", id_col)
+    frequent = (T.unnest(docs, block_keys(F.col(text_col), separator), "block")
                 .where(F.length("block") >= min_chars).groupBy(F.md5("block").alias("digest"))
                 .agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("digest"))
     drop = (digests.join(frequent, "digest", "left_semi").groupBy(id_col)

@@ -128,6 +128,8 @@ QUERIES = {f.__name__: f for f in (
 
 # --- oracle statements ----------------------------------------------------------------------------
 _Q = M.strip("text")
+# RE2 sees a word boundary next to an accented letter; an underscore in its place behaves like a letter
+_WORDS = r"regexp_replace(" + _Q + r", '[\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]', '_', 'g')"
 
 
 def _rules() -> str:
@@ -143,7 +145,7 @@ def _rules() -> str:
     return f"CASE {' '.join(arms)} ELSE {other} END"
 
 
-_SCREENED = f"""a AS (SELECT conv_id, turn, {_ASKED} AS text FROM conversations), b AS (SELECT *, {_Q} AS q FROM a), c AS (SELECT *, {_rules()} AS r FROM b)"""
+_SCREENED = f"""a AS (SELECT conv_id, turn, {_ASKED} AS text FROM conversations), b AS (SELECT *, {_WORDS} AS q FROM a), c AS (SELECT *, {_rules()} AS r FROM b)"""
 _ANY = lambda words: "(" + " OR ".join(f"contains(low, {M.lit(w)})" for w in words) + ")"
 _NAMES = f"regexp_extract_all(text, {M.lit(K.PERSON_NAME)}, 1)"
 _MENTIONS = f"""{_TURNS}, m AS MATERIALIZED (SELECT *, {M.codes('text')} AS courses, {_NAMES} AS names, {M.codes('text')}[-1] AS course,

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.sources.tables import table
+from gleanery import constants as K
+from gleanery.functions import text as T
+from gleanery.operators.pages import academic_rank, research_areas
+from gleanery.sources.tables import spread, table
 
 AREAS = ("nlp", "machine learning", "databases", "security", "robotics", "data mining", "hci", "compiler design")
 
@@ -55,7 +58,10 @@ KINDS = {
     "program": (
         "part", "p_partkey * 8 + 2", "concat('https://catalog.example.edu/preview_program.php?catoid=1&id=', cast(p_partkey as string))",
         f"concat({_PROGRAM}, p_brand)", "'catalog_program'",
-        f"concat('The program ', p_brand, ' lists ', {code('p_partkey')}, ' among its courses.')", "''"),
+        f"concat('The program ', p_brand, ' lists ', {code('p_partkey')}, ' among its courses and asks for thirty credits, four breadth courses, three focus courses, three electives and a "
+        f"capstone project that every student presents at the end of the second year.', {_NL}, '## Admission', {_NL}, 'Applicants send "
+        f"transcripts, three letters of recommendation and a statement of purpose by the end of the year, and may ask the office for help with "
+        f"any part of the application before the deadline passes.')", "''"),
     "research": (
         "nation", "n_nationkey * 8 + 3", "concat('https://www.example.edu/research/', cast(n_nationkey as string))",
         "n_name", "'research'",
@@ -102,14 +108,10 @@ def _sql(spark: SparkSession, d: str, statement: str) -> DataFrame:
 
 def site_documents(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
     """Documents of the given kinds (all by default) in the shape that graph extraction and chunking read."""
-    from gleanery.functions import text as T
-    from gleanery.operators.pages import academic_rank, research_areas
-
     statement = " UNION ALL ".join(_select(k) for k in (kinds or KINDS))
-    docs = _sql(spark, d, f"WITH people AS ({_PEOPLE}) {statement}")
+    docs = spread(_sql(spark, d, f"WITH people AS ({_PEOPLE}) {statement}"))
     text, empty = F.col("text"), F.array().cast("array<string>")
     is_profile = F.col("page_type") == "faculty_profile"
-    from gleanery import constants as K
     return docs.withColumns({
         "id": F.col("doc_no"), "source": F.lit("department"),
         "heading_path": F.when(F.col("headings") == "", empty).otherwise(F.split("headings", ";")),
