@@ -198,21 +198,28 @@ def chunk_courses(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """(section_no, heading, text) of every ``## `` section; section 0 takes the title and loses its first line."""
-    parts = T.pos_unnest(docs, F.split("text", r"(?U)\n##\s+"), "section_no", "part", *_META)
-    parts = parts.withColumn("part", T.strip(F.col("part"))).where(F.col("part") != "")
-    lines = F.split("part", "\n", 2)
-    heading = F.when(F.col("section_no") > 0, T.strip(F.get(lines, 0))).otherwise(F.col("title"))
-    body = F.when(F.size(lines) > 1, T.strip(F.get(lines, 1))).otherwise(F.col("part"))
-    return parts.withColumns({"heading": heading, "body": body}).withColumn(
-        "text", F.when(F.col("heading") != "", F.concat(F.lit("## "), "heading", F.lit("\n\n"), "body"))
-        .otherwise(F.col("body"))).select(*_META, "section_no", "heading", "text")
+    """(section_no, heading, text, words) of every ``## `` section; section 0 takes the title and loses its first line.
+
+    Sections are built inside the row before they are unnested, so later filters cannot evaluate the steps again.
+    """
+    def build(part, i):
+        def of_lines(part_, lines):
+            heading = F.when(i > 0, T.strip(F.get(lines, 0))).otherwise(F.col("title"))
+            body = F.when(F.size(lines) > 1, T.strip(F.get(lines, 1))).otherwise(part_)
+            return T.let(heading, lambda h: T.let(
+                F.when(h != "", F.concat(F.lit("## "), h, F.lit("\n\n"), body)).otherwise(body),
+                lambda t: F.struct(i.alias("section_no"), h.alias("heading"), t.alias("text"), T.word_count(t).alias("words"))))
+
+        return T.let(T.strip(part), lambda p: F.when(p != "", T.let(F.split(p, "\n", 2), lambda ls: of_lines(p, ls))))
+
+    built = F.array_compact(F.transform(F.split("text", r"(?U)\n##\s+"), build))
+    return T.unnest(docs, built, "s", *_META).select(*_META, "s.section_no", "s.heading", "s.text", "s.words")
 
 
 def chunk_sections(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Short sections whole, long ones packed by sentence under index ``section * 100 + part``."""
     parts = sections(docs)
-    short = T.word_count(F.col("text")) <= settings.chunk_size
+    short = F.col("words") <= settings.chunk_size
     whole = parts.where(short).select(*_META, "text", F.col("section_no").alias("chunk_index"), "heading",
                                       F.lit("section").alias("chunk_strategy"))
     pieces = T.unnest(parts.where(~short), sentence_pieces(F.col("text"), _reserved(), settings), "p", *_META, "section_no", "heading")
