@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import packing, sharding, simhash
+from gleanery.llm import chat, packing, sharding, simhash, warc
 from gleanery.llm.common import read
 
 
@@ -18,9 +18,20 @@ def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"))
 
 
+def op4_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame([(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))],
+                                  "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.formatted_turns(turns))
+
+
+def op8_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_hash_tree_shards, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_hash_tree_shards, op4_chat_round_trip, op8_legacy_archives, op10_simhash_components)}
 ORACLES: dict[str, str] = {}
