@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import chat, packing, sharding, simhash, warc
+from gleanery.llm import chat, decontaminate, language, neighbours, packing, sharding, simhash, warc
 from gleanery.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(read(spark, sf_dir, "documents"))
+
+
 def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"))
 
@@ -25,13 +29,24 @@ def op4_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted_turns(turns))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op9_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_hash_tree_shards, op4_chat_round_trip, op8_legacy_archives, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_byte_network, op3_hash_tree_shards, op4_chat_round_trip, op5_benchmark_leaks, op8_legacy_archives,
+    op9_hash_prefix_forest, op10_simhash_components)}
 ORACLES: dict[str, str] = {}
