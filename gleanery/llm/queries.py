@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, decontaminate, language, neighbours, packing, sharding, simhash, suffixes, warc
+from gleanery.llm import chat, decontaminate, language, neighbours, packing, passages, sharding, simhash, suffixes, warc
 from gleanery.llm.common import read
 
 
@@ -34,6 +34,11 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.removed(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_spans", "words_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.deduplicated(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
@@ -54,6 +59,6 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_byte_network, op3_hash_tree_shards, op4_chat_round_trip, op5_benchmark_leaks, op7_suffix_arrays, op8_legacy_archives,
+    op1_best_fit_packing, op2_byte_network, op3_hash_tree_shards, op4_chat_round_trip, op5_benchmark_leaks, op6_repeated_passages, op7_suffix_arrays, op8_legacy_archives,
     op9_hash_prefix_forest, op10_simhash_components)}
 ORACLES: dict[str, str] = {}

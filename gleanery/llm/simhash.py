@@ -180,9 +180,9 @@ def one_of_each(documents: DataFrame, width: int = WIDTH, bits: int = BITS) -> D
     rows = checkpointed(tagged.select("doc_id", F.xxhash64("text").alias("_hash"), "fp"))
     rooted = rows.join(classes(rows, bits).select("fp", "root"), "fp")
     first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "_hash")
-    keep = rooted.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*order, F.lit(1).alias("_keep"))
+    keep = rooted.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("doc_id").alias("_kept_id"), F.col("_hash").alias("_kept_hash"))
     hashed = documents.withColumn("_hash", F.xxhash64("text"))
-    kept = hashed.join(keep, [hashed["doc_id"].eqNullSafe(keep["doc_id"]), hashed["_hash"] == keep["_hash"]], "left_semi")
+    kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
     repeated = rows.groupBy(*order).count().where("count > 1").limit(1).count()
     if repeated:  # equal rows: one of them stays
         again = Window.partitionBy(*order).orderBy(F.lit(0))
