@@ -47,8 +47,11 @@ class Forest:
         centred = vectors - self.mean
         return np.stack([((centred @ p.T) > 0) @ weights for p in self.planes])
 
-    def ranges(self, queries: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
-        """First and last + 1 places in each tree (trees x queries) after the synchronous ascent."""
+    def ranges(self, queries: np.ndarray, wanted: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last + 1 places in each tree (trees x queries) after the synchronous ascent.
+
+        The trees stop when they hold ``wanted`` candidates, counted over trees, and one of them holds ``least`` by itself.
+        """
         found = self.strings(queries)
         low = np.zeros(found.shape, np.int64)
         high = np.full(found.shape, self.sorted.shape[1], np.int64)
@@ -59,7 +62,7 @@ class Forest:
             first = found[:, open_] >> shift << shift
             a = np.stack([np.searchsorted(s, f) for s, f in zip(self.sorted, first)])
             b = np.stack([np.searchsorted(s, f + (1 << shift)) for s, f in zip(self.sorted, first)])
-            done = (b - a).sum(axis=0) >= wanted
+            done = ((b - a).sum(axis=0) >= wanted) & ((b - a).max(axis=0) >= least)
             low[:, open_[done]], high[:, open_[done]] = a[:, done], b[:, done]
             open_ = open_[~done]
         return low, high
@@ -71,7 +74,7 @@ def nearest_in_block(ids, vectors, query_ids, queries, k: int, trees: int, bits:
     norms = np.einsum("ij,ij->i", vectors, vectors)
     for start in range(0, len(queries), CHUNK):
         q, qid = queries[start:start + CHUNK], query_ids[start:start + CHUNK]
-        low, high = forest.ranges(q, max(k + 1, share * len(ids)))
+        low, high = forest.ranges(q, share * len(ids), min(k + 1, len(ids)))
         rough = norms - 2 * q @ vectors.T
         for j in range(len(q)):
             candidate = np.zeros(len(ids), bool)
