@@ -88,22 +88,24 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate([part for c in range(symbols) for part in (*large[c], *(p[::-1] for p in reversed(small[c])))])
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``names`` by doubling ranks."""
+def _ranked(names: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes of ``names`` by doubling ranks, until all differ or ``depth`` names are compared."""
     rank, k = names.astype(np.int64), 1
     while True:
         after = np.zeros(len(rank), np.int64)
-        after[:-k] = rank[k:] + 1 if k < len(rank) else 0
-        order = np.lexsort((after, rank))
-        new = np.append(0, (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])).cumsum()
+        if k < len(rank):
+            after[:-k] = rank[k:] + 1
+        key = rank * (len(rank) + 2) + after
+        order = np.argsort(key)
+        new = np.append(0, key[order][1:] != key[order][:-1]).cumsum()
         rank[order] = new
-        if new[-1] == len(rank) - 1:
-            return order
         k *= 2
+        if new[-1] == len(rank) - 1 or k >= depth:
+            return order
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of ``s``, whose last symbol, 0, occurs nowhere else."""
+def suffix_array(s: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Sorted suffixes of ``s``, whose last symbol, 0, occurs nowhere else; by their first ``limit`` symbols, if given."""
     if len(s) < 2:
         return np.arange(len(s))
     smaller = _classify(s)
@@ -128,7 +130,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
             live = live[~differ]
         name = np.zeros(len(s), np.int64)
         name[order] = np.append(0, (~same).cumsum())
-        lms = lms[_ranked(name[lms])]
+        lms = lms[_ranked(name[lms], len(s) if limit is None else limit)]
     return _induce(s, smaller, lms)
 
 
@@ -140,7 +142,16 @@ def permuted_prefixes(s: np.ndarray, array: np.ndarray, room: np.ndarray, limit:
     a, b = array[:-1], array[1:]
     common = np.zeros(len(a), np.int64)
     most = np.minimum(np.minimum(room[a], room[b]), limit)
-    live = np.flatnonzero(most > 0)
+    four = np.zeros(len(s), np.uint64)  # a suffix's first four symbols, compared at once while there is room
+    for k in range(4):
+        four[:len(s) - k] |= s[k:].astype(np.uint64) << np.uint64(16 * k)
+    live = np.flatnonzero(most >= 4)
+    while len(live):
+        k = common[live]
+        live = live[four[a[live] + k] == four[b[live] + k]]
+        common[live] += 4
+        live = live[common[live] + 4 <= most[live]]
+    live = np.flatnonzero(common < most)
     while len(live):
         k = common[live]
         same = s[a[live] + k] == s[b[live] + k]
@@ -157,7 +168,7 @@ def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     """For each part, whether the string of ``length`` bytes at each start also starts elsewhere in the parts."""
     sizes = np.array([len(p) for p in parts])
     starts = np.cumsum(sizes + 1) - sizes - 1
-    s = np.empty(int(sizes.sum() + len(parts)), np.int64)
+    s = np.empty(int(sizes.sum() + len(parts)), np.uint16)
     room = np.zeros(len(s), np.int64)
     for at, p in zip(starts, parts):
         s[at:at + len(p)] = np.frombuffer(p, np.uint8)
@@ -165,7 +176,7 @@ def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray
         s[at + len(p)] = 1
         room[at:at + len(p)] = np.arange(len(p), 0, -1)
     s[-1] = 0
-    prefix = permuted_prefixes(s, suffix_array(s), room, length)
+    prefix = permuted_prefixes(s, suffix_array(s, length), room, length)
     return [prefix[at:at + max(0, n - length + 1)] >= length for at, n in zip(starts, sizes)]
 
 
