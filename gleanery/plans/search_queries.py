@@ -307,7 +307,9 @@ ORACLES = {
         b AS ({M.ranked('bm25', 'raw', 20)}),
         dv AS MATERIALIZED ({M.hash_vectors('documents', 'doc_id', 'text', DIM)}),
         qv AS ({M.hash_vectors('xi', 'query_id', 'expanded', DIM)}),
-        s AS (SELECT query_id, doc_id, sum(qv.x * dv.x) AS raw FROM qv JOIN dv USING (d) GROUP BY ALL),
+        s AS (SELECT i.query_id, t.doc_id, coalesce(x.raw, 0) AS raw FROM (SELECT DISTINCT query_id FROM xi) i CROSS JOIN documents t
+              LEFT JOIN (SELECT query_id, doc_id, sum(qv.x * dv.x) AS raw FROM qv JOIN dv USING (d) GROUP BY ALL) x
+              ON x.query_id = i.query_id AND x.doc_id = t.doc_id),
         dn AS ({M.ranked('s', 'raw + 1e-9', 20)}),
         u AS (SELECT *, 0 AS l, 'dense' AS source, 0.6 AS w FROM dn UNION ALL SELECT *, 1, 'bm25', 0.4 FROM b),
         f AS (SELECT query_id, doc_id AS id, round(sum(w / (60 + rank)), 6) AS rrf_score,
