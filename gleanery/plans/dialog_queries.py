@@ -193,8 +193,10 @@ ORACLES = {
         j AS (SELECT conv_id, name, program, interests, known_courses, concat_ws(' | ', 'User''s name: ' || name, 'Program: ' || program, 'Interests: ' || interests, 'Courses taken/mentioned: ' || known_courses) AS parts
               FROM g LEFT JOIN i4 USING (conv_id) LEFT JOIN k6 USING (conv_id))
         SELECT conv_id, name, program, interests, known_courses, CASE WHEN parts <> '' THEN '[User profile: ' || parts || ']' ELSE '' END AS context FROM j""",
-    "dialog_state": f"""WITH {_MENTIONS} SELECT conv_id, least(count(*), 8) AS turns, coalesce(last(course ORDER BY turn) FILTER (course IS NOT NULL), '') AS last_course,
-        coalesce(last(person ORDER BY turn) FILTER (person IS NOT NULL), '') AS last_person, coalesce(last(program ORDER BY turn) FILTER (program IS NOT NULL), '') AS last_program FROM m GROUP BY 1""",
+    "dialog_state": f"""WITH {_MENTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM m),
+        k AS (SELECT conv_id, count(*) AS n, min(pos) FILTER (role = 'assistant' AND pos >= 6) AS s FROM o GROUP BY 1)
+        SELECT conv_id, any_value(least(8, CASE WHEN s IS NULL THEN n ELSE 3 + n - s END)) AS turns, coalesce(last(course ORDER BY turn) FILTER (course IS NOT NULL), '') AS last_course,
+        coalesce(last(person ORDER BY turn) FILTER (person IS NOT NULL), '') AS last_person, coalesce(last(program ORDER BY turn) FILTER (program IS NOT NULL), '') AS last_program FROM m JOIN k USING (conv_id) GROUP BY 1""",
     "context_blocks": f"WITH {_RES} SELECT query_id, md5(context) AS context_md5, n_chunks FROM ctx",
     "cited_sources": f"WITH {_RES} SELECT * FROM src",
     "citation_footers": f"WITH {_RES} SELECT query_id, string_agg('[' || position || '] ' || url, chr(10) ORDER BY position) AS footer FROM src GROUP BY 1",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from gleanery import constants as K
@@ -12,21 +14,19 @@ from gleanery.operators.textjoin import contains_pairs
 from gleanery.plans import oracle_macros as M
 from gleanery.plans.site import site_documents, site_questions, site_sql
 from gleanery.session import ensure_checkpoint_dir
+from gleanery.sources.sinks import read_graph, write_graph
 from gleanery.sources.tables import table
 
 
-_STORED: dict[tuple[str, str], tuple] = {}
-
-
 def _graph(spark, d):
-    """Nodes and resolved edges of the derived site, built and stored once per application, then queried many times."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _STORED:
-        ensure_checkpoint_dir(spark)
-        nodes, edges = B.extract_graph(site_documents(spark, d))
-        nodes = nodes.checkpoint()
-        _STORED[key] = (nodes, B.resolve_edges(edges, nodes).checkpoint())
-    return _STORED[key]
+    """Nodes and resolved edges of the derived site, written to the shared folder and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/graph-{uuid4().hex}"
+    nodes, edges = B.extract_graph(site_documents(spark, d))
+    nodes = nodes.checkpoint()
+    edges = B.resolve_edges(edges, nodes)
+    write_graph(nodes, edges, path)
+    stored_nodes, stored_edges = read_graph(spark, path)
+    return stored_nodes.select(nodes.columns), stored_edges.select(edges.columns)
 
 
 # --- construction ---------------------------------------------------------------------------------

@@ -26,9 +26,11 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, else a fresh temporary folder (tests only)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    """Folder for checkpoints: the one the cluster names. Only a local master may fall back to a fresh temporary folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
+    return context.getCheckpointDir()

@@ -404,3 +404,13 @@ def test_prompt_layouts(spark):
     chat = one(spark, "Q?", lambda c: prompts.prompt(c, F.lit("ctx"), F.lit("User: a\nAssistant: b")))
     assert chat.endswith("<|im_start|>user\nQ?\n\n[Context from UB CSE website:]\nctx<|im_end|>\n<|im_start|>assistant")
     assert "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>" in chat
+
+
+def test_state_agrees_with_session(spark, data):
+    """The kept turns of the closed form are those of the turn-by-turn memory, whatever roles the turns have."""
+    rows = [(c, t, "assistant" if (t * (c + 1)) % 3 == 0 else "user", "hello") for c in range(12) for t in range(c + 1)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    last = {}
+    for r in dialogue.session_states(turns).collect():
+        last[r.conv_id] = max(last.get(r.conv_id, (-1, 0)), (r.turn, r.kept_turns))
+    assert {r.conv_id: r.turns for r in dialogue.state_summary(turns).collect()} == {c: k for c, (_, k) in last.items()}
