@@ -61,4 +61,9 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_byte_network, op3_hash_tree_shards, op4_chat_round_trip, op5_benchmark_leaks, op6_repeated_passages, op7_suffix_arrays, op8_legacy_archives,
     op9_hash_prefix_forest, op10_simhash_components)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_legacy_archives": """WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        f AS (SELECT *, strlen(payload) >= 100 AND page_id > min(page_id) OVER (PARTITION BY payload) AS again, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+        CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM f""",
+}
