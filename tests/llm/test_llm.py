@@ -145,6 +145,23 @@ def test_passages(spark):
     assert found[2].text == " ".join(docs[1][1][:10] + docs[1][1][70:])
 
 
+def test_passages_after_fragments(spark):
+    """Exact copies go although earlier documents hold fragments of them: against brute force."""
+    rng = np.random.default_rng(4)
+    docs = []
+    for t in range(40):
+        copy = [f"t{t}w{k}" for k in rng.integers(0, 10_000, 60)]
+        for part in (copy[:30], copy[30:], copy, copy):
+            docs.append((len(docs), words(rng, 60, 10_000) + part + words(rng, 60, 10_000)))
+    found = {r.doc_id: r for r in passages.removed(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")).collect()}
+    seen = set()
+    for d, w in docs:
+        mine = [tuple(w[i:i + 50]) for i in range(len(w) - 49)]
+        gone = {i + j for i, x in enumerate(mine) if x in seen for j in range(50)}
+        seen.update(mine)
+        assert found[d].words_removed >= len(gone) and (found[d].words_removed > 0) == (len(gone) > 0), d
+
+
 def test_compact_windows():
     rng = np.random.default_rng(4)
     order = rng.integers(0, 1 << 63, 300).astype(np.uint64)
