@@ -162,6 +162,35 @@ def test_passages_after_fragments(spark):
         assert found[d].words_removed >= len(gone) and (found[d].words_removed > 0) == (len(gone) > 0), d
 
 
+def test_stretches():
+    """Near copies beside strays and edited tails, and random patterns, against all sub-ranges."""
+    rng = np.random.default_rng(6)
+    base = np.arange(76)
+    edited = np.concatenate([base[:36], 900 + np.arange(5), base[41:]])  # 80 words, one edit
+    stray = np.concatenate([edited, 2000 + np.arange(10), base[:1]])
+    tail = np.concatenate([edited, np.where(np.arange(40) % 7 < 5, 3000 + np.arange(40), 200 + np.arange(40))])
+    other = np.concatenate([base, 200 + np.arange(40)])
+    assert passages.stretches(edited, other, 5, 50, 0.8) == [(0, 80)]
+    for own in (stray, tail):
+        (start, stop), = passages.stretches(own, other, 5, 50, 0.8)
+        assert start == 0 and stop >= 80
+    for trial in range(200):
+        own = np.where(rng.random(150) < rng.choice([0.6, 0.85, 0.95]), 1, 0) * (1 + np.arange(150))
+        common = np.flatnonzero(own)
+        want = np.zeros(160, bool)
+        for i, a in enumerate(common):
+            for j in range(i, len(common)):
+                n, m = common[j] - a + 1, j - i + 1
+                if j > i and common[j] - common[j - 1] > 11:
+                    break
+                if n + 4 >= 50 and m >= 0.8 * (2 * n - m) - 1e-9:
+                    want[a:common[j] + 5] = True
+        got = np.zeros(160, bool)
+        for a, b in passages.stretches(own, 1 + np.arange(150), 5, 50, 0.8):
+            got[a:b] = True
+        assert (got == want).all()
+
+
 def test_compact_windows():
     rng = np.random.default_rng(4)
     order = rng.integers(0, 1 << 63, 300).astype(np.uint64)
