@@ -191,6 +191,27 @@ def test_stretches():
         assert (got == want).all()
 
 
+def test_region_batches():
+    """Regions of a row come in bounded batches, all of them and in order."""
+    own, wants = np.arange(1000), [{"l": k, "r": 400 + k} for k in range(500)] + [{"l": 0, "r": 999}]
+    batches = list(passages.region_batches(7, own, wants, 2000))
+    assert max(len(b.column("tokens").flatten()) for b in batches) <= 2000
+    rows = [x for b in batches for x in b.to_pylist()]
+    assert [(x["l"], x["r"]) for x in rows] == [(w["l"], w["r"]) for w in wants]
+    assert all(x["_row"] == 7 and x["tokens"] == list(range(x["l"], x["r"] + 1)) for x in rows)
+    assert list(passages.region_batches(7, own, [])) == []
+
+
+def test_passages_hot_source(spark, monkeypatch):
+    """An early document that every other one copies from, in more parts than one list holds: all copies go."""
+    monkeypatch.setattr(passages, "PART_REGIONS", 4)
+    rng = np.random.default_rng(8)
+    source = words(rng, 3000, 10_000)
+    docs = [(0, source)] + [(d, words(rng, 20, 10_000) + source[70 * d:70 * d + 60] + words(rng, 20, 10_000)) for d in range(1, 41)]
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    assert {r.doc_id: r.words_removed for r in passages.removed(table).collect()} == {0: 0} | {d: 60 for d in range(1, 41)}
+
+
 def test_compact_windows():
     rng = np.random.default_rng(4)
     order = rng.integers(0, 1 << 63, 300).astype(np.uint64)
