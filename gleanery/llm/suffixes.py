@@ -11,6 +11,10 @@ its pieces and sorts their suffixes: suffixes are classified (smaller or larger
 substrings are sorted by an induction and named, their order is settled (by doubling ranks where names repeat), and a
 second induction gives the array. Common prefixes of neighbours, up to ``length``, are kept in text order.
 
+A shard ends between anchors, so it holds less than ``shard_bytes`` and one anchor's pieces beyond it. Where those exceed
+``hot_bytes``, as for a notice in very many different contexts, the anchor is in no shard: each of its windows is told
+apart by a 128-bit digest, counted over all tasks.
+
 Nulls and ties: null and empty texts have nothing to remove; a document shorter than ``length`` is kept whole. Repeated
 rows repeat each other's strings, so both lose them. An empty table gives no rows.
 """
@@ -29,6 +33,7 @@ from gleanery.llm.common import blocks, checkpointed, text_bytes
 LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 1 << 20
+HOT_BYTES = 4 << 20  # an anchor whose different pieces have more bytes is settled window by window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -227,7 +232,31 @@ def cut(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return row[first], first - offsets[row[first]], last - first + length, least[first].view(np.int64), again
 
 
-def marked(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """anchor, d1, d2 and a, b of every string of ``length`` bytes of ``pieces`` that also starts elsewhere in them, by a 128-bit digest.
+
+    No task holds more than a batch of an anchor's pieces: equal strings meet as counts.
+    """
+
+    def listed(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                raws = part.column("bytes").to_pylist()
+                at = [np.arange(max(0, len(r) - length + 1)) for r in raws]
+                of = pa.array(np.repeat(np.arange(len(raws)), [len(x) for x in at]))
+                digest = b"".join(xxhash.xxh3_128_digest(r[a:a + length]) for r, x in zip(raws, at) for a in x.tolist())
+                pair = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(k).take(of) for k in ("anchor", "d1", "d2")] + [pa.array(x) for x in (np.concatenate(at), pair[:, 0].copy(), pair[:, 1].copy())],
+                    names=["anchor", "d1", "d2", "a", "w1", "w2"])
+
+    every = checkpointed(pieces.mapInArrow(listed, "anchor long, d1 long, d2 long, a long, w1 long, w2 long"))
+    several = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    return every.join(several, ["w1", "w2"]).select("anchor", "d1", "d2", "a", (F.col("a") + length).alias("b"))
+
+
+def marked(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """_row and spans (start, stop) of the repeated strings of documents(_row, text)."""
 
     def listed(batches):
@@ -249,8 +278,7 @@ def marked(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
         F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.min(F.struct("_row", "start", "size")).alias("own")))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("again")).where("kinds > 1 or again")
     wanted = kinds.join(several.select("anchor"), "anchor")
-    lists = wanted.groupBy("own._row").agg(F.collect_list(F.struct("own.start", "own.size", "anchor", "d1", "d2")).alias("wanted"))
-    asked = documents.join(lists, "_row")
+    hot = checkpointed(wanted.groupBy("anchor").agg(F.sum("own.size").alias("bytes")).where(F.col("bytes") > hot_bytes).select("anchor"))
 
     def fetched(batches):
         for batch in batches:
@@ -261,7 +289,9 @@ def marked(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
                     + [pa.array([raw[w["start"]:w["start"] + w["size"]] for w in wants], pa.binary())],
                     names=["anchor", "d1", "d2", "bytes"])
 
-    pieces = asked.select("text", "wanted").mapInArrow(fetched, "anchor long, d1 long, d2 long, bytes binary")
+    def pieces(of: DataFrame) -> DataFrame:
+        lists = of.groupBy("own._row").agg(F.collect_list(F.struct("own.start", "own.size", "anchor", "d1", "d2")).alias("wanted"))
+        return documents.join(lists, "_row").select("text", "wanted").mapInArrow(fetched, "anchor long, d1 long, d2 long, bytes binary")
 
     def shard(batches):
         held: list[tuple] = []
@@ -286,8 +316,12 @@ def marked(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
         if held:
             yield flush()
 
-    inner = (pieces.repartition("anchor").sortWithinPartitions("anchor", "d1", "d2")
+    any_hot = not hot.isEmpty()
+    calm = wanted.join(hot, "anchor", "left_anti") if any_hot else wanted
+    inner = (pieces(calm).repartition("anchor").sortWithinPartitions("anchor", "d1", "d2")
              .mapInArrow(shard, "anchor long, d1 long, d2 long, a long, b long"))
+    if any_hot:
+        inner = inner.union(repeated_windows(pieces(wanted.join(hot, "anchor")), length))
     keys = ["anchor", "d1", "d2"]
     copied = kinds.where("n > 1").select(*keys, F.lit(0).cast("long").alias("a"), F.col("own.size").alias("b"))
     spans = hits.join(copied.union(inner), keys).select("_row", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"))

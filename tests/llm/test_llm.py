@@ -72,6 +72,32 @@ def test_suffix_removal_periodic(spark):
     assert sorted(got) == sorted((d, n, h, k) for d, n, _, k, h in removed(rows, suffixes.LENGTH))
 
 
+def test_suffix_removal_hot_anchor(spark, monkeypatch):
+    """One string in very many contexts: no shard grows beyond its bounds, and the bytes removed are those of brute force."""
+    rng = np.random.default_rng(11)
+    line = "".join(rng.choice(list("abcdefgh"), 150))
+    some = lambda n: "".join(rng.choice(list("ijklmnop"), n))
+    tails = [some(60) for _ in range(5)]
+    rows = [(d, some(250) + line + tails[d % 5] * (d % 40 < 5) + some(250) + "-" * (d % 7 * 60)) for d in range(160)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = table.select("text", F.col("doc_id").alias("_row"))
+    sizes = spark.sparkContext.accumulator(0)
+    most, inside = 20_000, suffixes.repeated_starts
+
+    def bounded(parts, length):
+        assert sum(map(len, parts)) <= 2 * most + 400, "a shard beyond its bounds"
+        sizes.add(1)
+        return inside(parts, length)
+
+    monkeypatch.setattr(suffixes, "repeated_starts", bounded)
+    found = {r._row: suffixes.merged(r.spans) for r in suffixes.marked(keyed, shard_bytes=most, hot_bytes=most).collect()}
+    assert sizes.value > 0
+    seen = Counter(t[i:i + 200] for _, t in rows for i in range(len(t) - 199))
+    for d, t in rows:
+        runs = suffixes.merged([{"start": i, "stop": i + 200} for i in range(len(t) - 199) if seen[t[i:i + 200]] > 1])
+        assert found.get(d, []) == runs, d
+
+
 def test_neighbours(spark, data):
     found = queries.op9_hash_prefix_forest(spark, data).toPandas()
     rows = spark.read.parquet(f"{data}/embeddings.parquet").toPandas()
