@@ -61,6 +61,7 @@ def rerank(
     scorer: Scorer | None = None,
     k: int = DEFAULTS.rerank_top_k,
     order_col: str = "rank",
+    chars: int | None = None,
 ) -> DataFrame:
     """Rerank (query_id, query_text, id, text, source, rrf_score, rank, page_type, url) with a passage scorer.
 
@@ -70,7 +71,8 @@ def rerank(
     """
     scorer = scorer or LexicalScorer()
     is_graph = F.col("source") == "graph"
-    raw = F.round(scorer.score(F.col("query_text"), F.substring(F.col("text"), 1, 512)), 4)
+    passage = F.col("text") if chars is None else F.substring(F.col("text"), 1, chars)
+    raw = F.round(scorer.score(F.col("query_text"), passage), 4)
     scored = candidates.where(~is_graph).withColumn("score", raw)
     best = F.max("score").over(Window.partitionBy("query_id"))
     low_url = F.lower(F.coalesce("url", F.lit("")))

@@ -217,25 +217,32 @@ def evidence(understood: DataFrame, sub_nodes: DataFrame, sub_edges: DataFrame,
 
 
 # --- graph-guided chunks --------------------------------------------------------------------------
-def guided_chunks(sub_nodes: DataFrame, chunks: DataFrame, k: int = 8, area_k: int = 8) -> DataFrame:
-    """(query_id, id, score, rank): chunks naming the subgraph's courses, then its people, then research pages.
+def guided_chunks(sub_nodes: DataFrame, chunks: DataFrame, k: int = 8, area_k: int = 8, pages: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): chunks naming the subgraph's courses, then its people, then research pages on its areas.
 
-    ``chunks``: id, text, title, page_type, courses_in_chunk. Each branch takes its first chunks in id order; for
-    people the cut precedes the test of the surname. A chunk keeps the first branch that found it.
+    ``chunks``: id, text, title, page_type, courses_in_chunk. Each branch takes a query's first chunks in id order, out of
+    all that name the surname or the area. With ``pages``, as in the reference, only the first ``pages`` profiles and
+    research chunks of all are looked at, and research chunks need not name an area. A chunk keeps the first branch that
+    found it.
     """
     first = lambda label, n: top_k(sub_nodes.where(F.col("label") == label).withColumnRenamed("id", "node"), ["query_id"],
                                    [F.col("hop"), F.col("node")], n, "n").select("query_id", "node")
     by_course = chunks.select("id", F.explode("courses_in_chunk").alias("node"))
     courses = top_k(first("Course", 6).join(by_course, "node").select("query_id", "id").distinct(), ["query_id"], [F.col("id")], k, "at")
-    # the first k profile chunks and research chunks are the same for every query
-    head = lambda kind, n: chunks.where(F.col("page_type") == kind).orderBy("id").limit(n).withColumn(
-        "at", F.row_number().over(Window.partitionBy("page_type").orderBy("id")))
-    surname = first("Faculty", 4).select("query_id", F.element_at(F.split("node", r"(?U)\s+"), -1).alias("surname"))
-    profiles = head("faculty_profile", k).select("id", "at", F.lower(F.concat("text", "title")).alias("low"))
-    people = surname.join(F.broadcast(profiles), F.contains("low", "surname")).select("query_id", "id", "at").distinct()
-    with_area = sub_nodes.where("label = 'ResearchArea'").select("query_id").distinct()
-    research = head("research", area_k).select("id", "at")
-    areas = with_area.withColumn("one", F.lit(1)).join(F.broadcast(research.withColumn("one", F.lit(1))), "one").select("query_id", "id", "at")
+    surname = first("Faculty", 4).select("query_id", F.element_at(F.split("node", r"(?U)\s+"), -1).alias("pattern")).distinct()
+    area = sub_nodes.where("label = 'ResearchArea'").select("query_id", F.col("id").alias("pattern")).distinct()
+    low = lambda kind: chunks.where(F.col("page_type") == kind).select("id", F.lower(F.concat(F.coalesce("text", F.lit("")), F.coalesce("title", F.lit("")))).alias("text"))
+    naming = lambda kind, names, n: top_k(contains_pairs(low(kind), names.select(F.lower("pattern").alias("pattern"))).join(
+        names.withColumn("pattern", F.lower("pattern")), "pattern").select("query_id", "id").distinct(), ["query_id"], [F.col("id")], n, "at")
+    if pages is None:
+        people, areas = naming("faculty_profile", surname, k), naming("research", area, area_k)
+    else:
+        head = lambda kind: chunks.where(F.col("page_type") == kind).orderBy("id").limit(pages).withColumn(
+            "at", F.row_number().over(Window.partitionBy("page_type").orderBy("id")))
+        profiles = head("faculty_profile").select("id", "at", F.lower(F.concat("text", "title")).alias("low"))
+        people = surname.join(F.broadcast(profiles), F.contains("low", "pattern")).select("query_id", "id", "at").distinct()
+        research = head("research").select("id", "at", F.lit(1).alias("one"))
+        areas = area.select("query_id", F.lit(1).alias("one")).distinct().join(F.broadcast(research), "one").select("query_id", "id", "at")
     branches = [df.select("query_id", "id", F.lit(i).alias("branch"), "at", F.lit(K.GUIDED_SCORES[name]).alias("score"))
                 for i, (name, df) in enumerate((("course", courses), ("faculty", people), ("research", areas)))]
     merged = reduce(DataFrame.unionByName, branches).groupBy("query_id", "id").agg(
@@ -249,7 +256,7 @@ def graph_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunk
     """(query_id, id, text, score, source, rank): one evidence row, then the guided chunks."""
     ensure_checkpoint_dir(nodes.sparkSession)
     understood = understand(queries).checkpoint()
-    sub_nodes, sub_edges = expand(understood, nodes, edges, hops)
+    sub_nodes, sub_edges = (df.checkpoint() for df in expand(understood, nodes, edges, hops))
     facts = evidence(understood, sub_nodes, sub_edges, nodes).select(
         "query_id", "id", "text", "score", F.lit("graph").alias("source"), F.lit(1).cast("bigint").alias("rank"))
     guided = guided_chunks(sub_nodes, chunks, k).join(chunks.select("id", "text"), "id").select(

@@ -136,10 +136,13 @@ def _chunks(spark, d):
                        T.extract_codes(F.col("text")).alias("courses_in_chunk"))
 
 
+GUIDED_PAGES = 8  # profile and research pages that the statement looks at
+
+
 def graph_guided_chunks(spark, d):
     nodes, edges = _graph(spark, d)
     found, _ = Q.expand(_understood(spark, d), nodes, edges)
-    return Q.guided_chunks(found, _chunks(spark, d))
+    return Q.guided_chunks(found, _chunks(spark, d), pages=GUIDED_PAGES)
 
 
 def graph_retrieval(spark, d):

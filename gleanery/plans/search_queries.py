@@ -177,12 +177,15 @@ def _rerank_input(spark, d):
             .withColumn("source", F.lit("bm25")).withColumn("rrf_score", F.round(1.0 / (60 + F.col("rank")), 6)))
 
 
+RERANK_CHARS = 512  # the statement's passage length
+
+
 def rerank_lexical(spark, d):
-    return fusion.rerank(_rerank_input(spark, d)).select("query_id", "id", "final_rank", "score", "ce_score")
+    return fusion.rerank(_rerank_input(spark, d), chars=RERANK_CHARS).select("query_id", "id", "final_rank", "score", "ce_score")
 
 
 def rerank_summary(spark, d):
-    return fusion.score_summary(fusion.rerank(_rerank_input(spark, d)))
+    return fusion.score_summary(fusion.rerank(_rerank_input(spark, d), chars=RERANK_CHARS))
 
 
 _FUSE_BASE = f"""{_ITEMS}, {M.bm25_ctes('documents', 'items', False)},

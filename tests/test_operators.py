@@ -266,6 +266,31 @@ def test_rerank_adjustments_and_fallback(spark):
     assert [(r["id"], r["ce_score"]) for r in got] == [("g", None), ("b", 0.7), ("c", -0.6), ("a", -1.0), ("e", -9.0), ("d", -3.5)]
 
 
+def test_rerank_whole_passages(spark):
+    schema = "query_id int, query_text string, id string, text string, source string, rrf_score double, rank int, page_type string, url string"
+    rows = [(1, "needle", "a", "straw " * 200 + "needle", "bm25", 0.01, 2, "x", "u"), (1, "needle", "b", "straw " * 200, "bm25", 0.02, 1, "x", "u")]
+    table = spark.createDataFrame(rows, schema)
+    first = lambda **o: fusion.rerank(table, **o).orderBy("final_rank").first()["id"]
+    assert (first(), first(chars=512)) == ("a", "b")
+
+
+def test_history_honours_n(spark):
+    turns = spark.createDataFrame([(1, t, "user", f"turn {t}") for t in range(1, 10)], "conv_id int, turn int, role string, text string")
+    lines = lambda **o: dialogue.history(turns, **o).first()["history"].count("User: ")
+    assert (lines(), lines(n=6), lines(n=2)) == (4, 6, 2)
+
+
+def test_guided_chunks_beyond_the_first_pages(spark):
+    """A person and an area named only on late pages are found; ``pages`` gives the reference's cut."""
+    nodes = spark.createDataFrame([(1, "Faculty", "ada late", 0), (2, "ResearchArea", "deep topics", 0)], "query_id int, label string, id string, hop int")
+    chunks = [(i, f"someone {i}", "t", "faculty_profile", []) for i in range(20)] + [(30, "Dr. Late teaches", "t", "faculty_profile", [])]
+    chunks += [(40 + i, "nothing", "t", "research", []) for i in range(20)] + [(70, "on Deep Topics", "t", "research", [])]
+    table = spark.createDataFrame(chunks, "id int, text string, title string, page_type string, courses_in_chunk array<string>")
+    rows = lambda **o: sorted((r["query_id"], r["id"]) for r in graph_query.guided_chunks(nodes, table, **o).collect())
+    assert rows() == [(1, 30), (2, 70)]
+    assert rows(pages=8) == [(2, 40 + i) for i in range(8)]
+
+
 def test_hybrid_with_graph_hits(spark, corpus):
     docs = spark.createDataFrame([(str(i), t) for i, t in corpus], "id string, text string")
     queries = spark.createDataFrame([(1, corpus[7][1])], "query_id int, query_text string")
