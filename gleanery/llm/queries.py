@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, decontaminate, language, neighbours, packing, passages, sharding, simhash, suffixes, warc
+from gleanery.llm import (chat, decontaminate, language, neighbours, packing, passages, repair, setjoin, sharding, simhash, suffixes, tries,
+                          warc)
 from gleanery.llm.common import read
 
 
@@ -58,9 +59,21 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(read(spark, sf_dir, "conversations"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_byte_network, op3_hash_tree_shards, op4_chat_round_trip, op5_benchmark_leaks, op6_repeated_passages, op7_suffix_arrays, op8_legacy_archives,
-    op9_hash_prefix_forest, op10_simhash_components)}
+    op9_hash_prefix_forest, op10_simhash_components, op11_structure_repair, op12_prefix_trie, op13_chosen_path_join)}
 ORACLES: dict[str, str] = {
     "op8_legacy_archives": """WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         f AS (SELECT *, strlen(payload) >= 100 AND page_id > min(page_id) OVER (PARTITION BY payload) AS again, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
