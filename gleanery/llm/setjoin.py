@@ -7,13 +7,16 @@ its path selects. Nodes of at most ``LIMIT`` entries are compared exhaustively.
 a tree at any depth with probability 0.9375 or more, and of ``TREES`` independent trees all miss it with 6e-8 or less.
 
 Groups of many near copies share all tokens and would never branch apart. So each first-level node first links its entries
-to its smallest one, and where that proves all of a node connected, it is done; later comparisons leave out pairs that are
-connected already. What is still large after the last level is dealt in tiles: the largest connected part against the rest,
-and the rest against itself, so that work is only done for pairs that are not connected, whatever the size.
+to its smallest one, and where that proves all of a node connected, it is done. A node that keeps at least ``SHARE`` of the
+entries of the node above it, or is still large after the last level, is compared exhaustively too, in tiles of bounded
+rows and set sizes: its largest connected part against the rest, and the rest against itself, so that work is only done for
+entries that are not connected, whatever their number.
 
 Candidates need sizes that allow the similarity and agreement of at least ``MATCH`` of ``TOKENS`` minwise tokens (a pair at
-the threshold fails with 1e-8). Every candidate is confirmed on the full sets of both texts: the texts of the pairs of one
-entry stream past that entry's set, and entries with many pairs are dealt to several tasks.
+the threshold fails with 1e-8). Every link is confirmed on the full sets of both texts. For the first links, the texts of
+the partners of one entry stream past that entry's set, and entries with many partners are dealt to several tasks. In a
+node, the texts of entries that have a candidate there are read, all intersections are counted at once by products of
+shingle incidence matrices, a bounded slice of shingles at a time, and spanning links are given out, never all pairs.
 
 Nulls and ties: documents without words have an empty set and are linked with nothing. The component id is the smallest
 non-null doc_id of the component (null if all are null), and a row without a doc_id is never kept. Rows that repeat, or
@@ -23,6 +26,8 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +45,10 @@ FIRST = TREES * PICKS  # minwise tokens of the first level
 TOKENS = FIRST * LEVELS  # each level selects from tokens of its own
 MATCH = 21
 LIMIT = 32
-TILE = 256
+SHARE = 0.5
+TILE = 1024
+TILE_SHINGLES = 1 << 19
+SLICE = 1 << 12  # shingles of an incidence matrix
 PAIRS_PER_TASK = 512  # pairs of one entry that are confirmed together
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,7 +137,7 @@ def first_nodes(entries: DataFrame) -> DataFrame:
 
 
 def branches(rows: DataFrame, level: int) -> DataFrame:
-    """(node, sid, label) one level deeper: the path selects ``PICKS`` tokens of those that the level has to itself."""
+    """(node, sid, label, above) one level deeper: the path selects ``PICKS`` tokens of those that the level has to itself."""
 
     def branched(batches):
         for batch in batches:
@@ -141,9 +149,9 @@ def branches(rows: DataFrame, level: int) -> DataFrame:
                 place = (first + pick * step) % FIRST + FIRST * level
                 token = tokens[np.arange(len(node)), place].astype(np.uint64)
                 child = _mixed(node * _BASE + (token << np.uint64(8)) + place.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("sid"), batch.column("label")], names=["node", "sid", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(c) for c in ("sid", "label", "size"))], names=["node", "sid", "label", "above"])
 
-    return rows.mapInArrow(branched, "node long, sid long, label long")
+    return rows.mapInArrow(branched, "node long, sid long, label long, above long")
 
 
 def alike(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int, match: int) -> np.ndarray:
@@ -166,42 +174,127 @@ def candidates(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sides[1], "v").join(sides[0], "u").mapInArrow(kept, "u long, v long")
 
 
-def node_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of entries of a node that may be alike and are not connected yet; rows: node, sid, label, n, tokens, bounded nodes."""
+def _by_node(batches, within):
+    """Apply ``within`` to tables that hold whole nodes, of batches that are sorted by node."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch.column("node").to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(node, node[-1]))
+        if cut:  # the last node may go on
+            yield from within(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from within(pa.Table.from_batches(held).combine_chunks())
+
+
+def _pairs(table: pa.Table, tokens: np.ndarray, percent: int):
+    """(i, j) of rows of one node that may be alike and are not connected yet."""
+    node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+    for d in range(1, len(node)):
+        i = np.flatnonzero(node[d:] == node[:-d])
+        if not len(i):
+            break
+        i = i[label[i] != label[i + d]]
+        yield (i := i[alike(n[i], n[i + d], tokens[i], tokens[i + d], percent, MATCH)]), i + d
+
+
+def with_candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """The ``rows`` (node, sid, label, n, tokens) that have a candidate in their node; nodes are bounded."""
+
+    def kept(table):
+        some = np.zeros(table.num_rows, bool)
+        for i, j in _pairs(table, _bytes(table.column("tokens"), TOKENS), percent):
+            some[i] = some[j] = True
+        yield from table.filter(pa.array(some)).to_batches()
+
+    schema = "node long, sid long, label long, n long, tokens binary"
+    return (rows.select("node", "sid", "label", "n", "tokens").repartition("node").sortWithinPartitions("node", "sid")
+            .mapInArrow(lambda batches: _by_node(batches, kept), schema))
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of distinct hashes."""
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # only shared hashes have a column
+    shared = times[at] > 1
+    column, of = place[at[shared]], of[shared]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+        a, b = np.searchsorted(column, (start, start + SLICE))
+        cells = np.zeros((len(sets), SLICE), np.float32)
+        cells[of[a:b], column[a:b] - start] = 1
+        both += (cells @ cells.T).astype(np.int64)
+    return both
+
+
+def spanning(linked: np.ndarray):
+    """Links that join what a symmetric matrix of links joins."""
+    rest = np.ones(len(linked), bool)
+    for root in range(len(linked)):
+        reached = [root] if rest[root] else []
+        rest[root] = False
+        while reached:
+            u = reached.pop()
+            new = np.flatnonzero(linked[u] & rest)
+            rest[new] = False
+            reached.extend(new.tolist())
+            yield from ((u, v) for v in new.tolist())
+
+
+def node_links(rows: DataFrame, entries: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v) links, confirmed on full sets, that join the entries which the nodes of ``rows`` prove connected."""
+    rows = checkpointed(with_candidates(rows, percent))
+    wanted = checkpointed(entries.join(rows.select("sid").distinct(), "sid").select("k", "sid", "d1", "d2"))
+    texts = documents.select(F.xxhash64("doc_id", "text").alias("k"), "text").join(wanted, "k").select("sid", "d1", "d2", "text")
 
-    def compared(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:  # sorted by node; the last one may go on
-            if not batch.num_rows:
-                continue
-            node = batch.column("node").to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(node, node[-1]))
-            held.append(batch.slice(0, cut))
-            if cut:
-                yield from within(held)
-                held = []
-            held.append(batch.slice(cut))
-        yield from within(held)
-
-    def within(held):
-        table = pa.Table.from_batches(held).combine_chunks() if sum(b.num_rows for b in held) else None
-        if table is None:
-            return
-        node, sid, label, n = (table.column(c).to_numpy() for c in ("node", "sid", "label", "n"))
+    def hashed(batches):
+        """The rows with their sets in place of their texts."""
+        for part in blocks(batches):
+            h, row = shingle_sets(*text_bytes(part.column("text")), width)
+            n = np.bincount(row, minlength=part.num_rows)
+            some = np.flatnonzero(n)
+            same = np.zeros(part.num_rows, bool)
+            if len(some):  # else another text under the same row hash
+                d1, d2 = (part.column(c).to_numpy(zero_copy_only=False)[some] for c in ("d1", "d2"))
+                found = set_digests(h, (np.cumsum(n) - n)[some])
+                same[some] = (found[0] == d1) & (found[1] == d2)
+            sets = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(n))), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sets], names=[*names, "sets"]).filter(pa.array(same))
+
+    def linked(table):
         tokens = _bytes(table.column("tokens"), TOKENS)
-        d = 1
-        while d < len(node):
-            i = np.flatnonzero(node[d:] == node[:-d])
-            if not len(i):
-                break
-            i = i[label[i] != label[i + d]]
-            i = i[alike(n[i], n[i + d], tokens[i], tokens[i + d], percent, MATCH)]
-            if len(i):
-                a, b = sid[i], sid[i + d]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
-            d += 1
-
-    return rows.select("node", "sid", "label", "n", "tokens").repartition("node").sortWithinPartitions("node").mapInArrow(compared, "u long, v long")
+        pairs = list(_pairs(table, tokens, percent))
+        if not pairs:
+            return
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        node, sid, n = (table.column(c).to_numpy() for c in ("node", "sid", "n"))
+        sets = table.column("sets").chunk(0)
+        ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        cuts = np.flatnonzero(node[a][1:] != node[a][:-1]) + 1
+        out = []
+        for x, y in zip(np.split(a, cuts), np.split(b, cuts)):
+            own, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            both = intersections([flat[ends[i]:ends[i + 1]] for i in own])
+            i, j = at[:len(x)], at[len(x):]
+            near = 100 * both[i, j] >= percent * (n[own[i]] + n[own[j]] - both[i, j])
+            links = np.zeros(both.shape, bool)
+            links[i[near], j[near]] = links[j[near], i[near]] = True
+            out += [(sid[own[u]], sid[own[v]]) for u, v in spanning(links)]
+        if out:
+            u, v = np.array(out, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    names = ["node", "sid", "label", "n", "tokens"]
+    dealt = rows.join(texts, "sid").select(*names, "d1", "d2", "text").repartition("node").sortWithinPartitions("node", "sid")
+    return checkpointed(dealt.mapInArrow(lambda batches: _by_node(hashed(batches), linked), "u long, v long").distinct())
 
 
 def confirmed(pairs: DataFrame, entries: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -244,32 +337,41 @@ def confirmed(pairs: DataFrame, entries: DataFrame, documents: DataFrame, width:
 def bounded_nodes(rows: DataFrame, entries: DataFrame, limit: int, tile: int, levels: int) -> DataFrame:
     """(node, sid, label, n, tokens) with bounded nodes that together hold every pair of the trees that is not connected yet."""
     facts = entries.select("sid", "n", "tokens")
-    ready = None
+    rows, out, ready = rows.withColumn("above", F.lit(None).cast("long")), ["node", "sid", "label", "n", "tokens"], []
     for level in range(1, levels + 1):
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = checkpointed(nodes.where("low <> high").select("node", "size"))
-        whole = rows.join(mixed, "node").join(facts, "sid")
-        small = whole.where(F.col("size") <= limit).select("node", "sid", "label", "n", "tokens")
-        ready = small if ready is None else ready.unionByName(small)
-        large = whole.where(F.col("size") > limit)
-        if not mixed.where(F.col("size") > limit).limit(1).count():
-            return ready
-        if level < levels:
-            rows = checkpointed(branches(large.select("node", "sid", "label", "tokens"), level).distinct())
-    counts = large.groupBy("node", "label").agg(F.count(F.lit(1)).alias("rows"))
-    top = counts.groupBy("node").agg(F.max(F.struct("rows", "label")).alias("top"), F.sum("rows").alias("all"))
-    tiles = checkpointed(top.select("node", F.col("top.label").alias("main"), F.expr(f"int(ceil(top.rows / {tile}))").alias("mains"),
-                                    F.expr(f"int(ceil((`all` - top.rows) / {tile}))").alias("rests")))
-    dealt = large.join(tiles, "node")
-    mine = F.col("label") == F.col("main")
-    place = lambda n: F.pmod(F.xxhash64("sid"), n)
-    cell = lambda kind, a, b: F.xxhash64("node", F.lit(kind), a, b).alias("node")
-    out = ["sid", "label", "n", "tokens"]
-    main = dealt.where(mine).withColumn("other", F.explode(F.expr("sequence(0, rests - 1)"))).select(cell(0, place(F.col("mains")), F.col("other").cast("long")), *out)
-    across = dealt.where(~mine).withColumn("other", F.explode(F.expr("sequence(0, mains - 1)"))).select(cell(0, F.col("other").cast("long"), place(F.col("rests"))), *out)
-    rest = dealt.where(~mine).withColumn("other", F.explode(F.expr("sequence(0L, rests - 1L)"))).withColumn("own", place(F.col("rests"))).select(
-        cell(1, F.least("own", "other"), F.greatest("own", "other")), *out)
-    return ready.unionByName(main).unionByName(across).unionByName(rest)
+        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("above").alias("above"))
+        close = (F.col("size") >= SHARE * F.col("above")) if level < levels else F.lit(True)
+        kind = F.when(F.col("size") <= limit, "small").when(F.coalesce(close, F.lit(False)), "close").otherwise("large")
+        mixed = checkpointed(nodes.where("low <> high").select("node", "size", kind.alias("kind")))
+        whole = rows.drop("above").join(mixed, "node").join(facts, "sid")
+        ready.append(whole.where("kind = 'small'").select(*out))
+        kinds = {r.kind for r in mixed.select("kind").distinct().collect()}
+        if "close" in kinds:
+            ready.append(tiles(checkpointed(whole.where("kind = 'close'").select(*out)), tile))
+        if "large" not in kinds:
+            break
+        rows = checkpointed(branches(whole.where("kind = 'large'").select("node", "sid", "label", "tokens", "size"), level).distinct())
+    return reduce(DataFrame.unionByName, ready)
+
+
+def tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """Nodes of any size as bounded ones that hold every pair with different labels: the largest label against the rest, and the rest."""
+    counts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    top = counts.groupBy("node").agg(F.max(F.struct("rows", "label", "shingles")).alias("top"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    parts = lambda a, b: F.expr(f"greatest(ceil(({a}) / {tile}), ceil(({b}) / {TILE_SHINGLES}))")
+    dealt = checkpointed(top.select("node", F.col("top.label").alias("main"), parts("top.rows", "top.shingles").alias("mains"),
+                                    parts("rows - top.rows", "shingles - top.shingles").alias("rests")))
+    dealt = rows.join(dealt, "node")
+    is_main = F.col("label") == F.col("main")
+    whole = F.expr("sequence(0L, rests - 1L)")
+    facing = F.when(is_main, whole).otherwise(F.expr("sequence(0L, mains - 1L)"))
+    tiled = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))))
+    cell = lambda kind, a, b: F.xxhash64("node", F.lit(kind), a, b)
+    across = tiled.withColumn("other", F.explode(facing)).withColumn(
+        "node", F.when(is_main, cell(0, F.col("own"), F.col("other"))).otherwise(cell(0, F.col("other"), F.col("own"))))
+    rest = tiled.where((~is_main) & (F.col("rests") > 1)).withColumn("other", F.explode(whole)).withColumn(
+        "node", cell(1, F.least("own", "other"), F.greatest("own", "other")))
+    return across.unionByName(rest).select(*rows.columns)
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int = LIMIT, tile: int = TILE, levels: int = LEVELS) -> DataFrame:
@@ -284,8 +386,7 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     links = confirmed(candidates(spokes, entries, percent), entries, documents, width, percent)
     labels = components(links).select(F.col("node").alias("sid"), F.col("root").alias("label"))
     labelled = checkpointed(rows.join(checkpointed(labels), "sid", "left").select("node", "sid", F.coalesce("label", "sid").alias("label")))
-    more = node_pairs(bounded_nodes(labelled, entries, limit, tile, levels), percent).distinct()
-    links = links.union(confirmed(more, entries, documents, width, percent))
+    links = links.union(node_links(bounded_nodes(labelled, entries, limit, tile, levels), entries, documents, width, percent))
     roots = checkpointed(components(links).select(F.col("node").alias("sid"), "root"))
     rooted = entries.select("sid", "d1", "d2", "n", "first_id").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lowest = checkpointed(rooted.join(roots, "sid", "left_semi").groupBy("root").agg(F.min("first_id").alias("lowest")))
