@@ -7,7 +7,7 @@ its path selects. Nodes of at most ``LIMIT`` entries are compared exhaustively.
 a tree at any depth with probability 0.9375 or more, and of ``TREES`` independent trees all miss it with 6e-8 or less.
 
 Groups of many near copies share all tokens and would never branch apart. So each first-level node first links its entries
-to its smallest one, and where that proves all of a node connected, it is done. A node that keeps at least ``SHARE`` of the
+to its smallest one, and where two such steps prove all of a node connected, it is done. A node that keeps at least ``SHARE`` of the
 entries of the node above it, or is still large after the last level, is compared exhaustively too, in tiles of bounded
 rows and set sizes: its largest connected part against the rest, and the rest against itself, so that work is only done for
 entries that are not connected, whatever their number.
@@ -384,8 +384,10 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     rows = checkpointed(rows.join(shared, "node"))
     spokes = rows.where("u <> sid").select("u", F.col("sid").alias("v")).distinct()
     links = confirmed(candidates(spokes, entries, percent), entries, documents, width, percent)
-    labels = components(links).select(F.col("node").alias("sid"), F.col("root").alias("label"))
-    labelled = checkpointed(rows.join(checkpointed(labels), "sid", "left").select("node", "sid", F.coalesce("label", "sid").alias("label")))
+    lowest = links.groupBy(F.col("v").alias("sid")).agg(F.min("u").alias("label"))  # one step to the smallest partner, and one more
+    further = lowest.select(F.col("sid").alias("label"), F.col("label").alias("lower"))
+    labels = checkpointed(lowest.join(further, "label", "left").select("sid", F.coalesce("lower", "label").alias("label")))
+    labelled = checkpointed(rows.join(labels, "sid", "left").select("node", "sid", F.coalesce("label", "sid").alias("label")))
     links = links.union(node_links(bounded_nodes(labelled, entries, limit, tile, levels), entries, documents, width, percent))
     roots = checkpointed(components(links).select(F.col("node").alias("sid"), "root"))
     rooted = entries.select("sid", "d1", "d2", "n", "first_id").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
