@@ -132,8 +132,8 @@ _MARK = "\u0001"
 
 
 def tokens(c: Column) -> Column:
-    """Lower-cased alphanumeric runs longer than one character and not stop words; codes keep "CSE 574A" spelling."""
-    low = F.lower(c)
+    """Lower-cased alphanumeric runs longer than one character and not stop words; codes keep "CSE 574A" spelling. Null has none."""
+    low = F.lower(F.coalesce(c, F.lit("")))
     marked = replace_all(low, r"\b(cse)\s*(\d{3}[a-z]?)\b", f"{_MARK}$1 {_MARK}$2")
     plain = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
     special = F.transform(
