@@ -23,6 +23,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``checkpointed``, in partitions of about ``rows`` rows: small tables don't leave a file for each of many tasks."""
+    stored = checkpointed(df)
+    return stored.coalesce(max(1, -(-stored.count() // rows)))
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,24 +76,24 @@ def gapless_rank(df: DataFrame, key: str, order: list[str], name: str, rows_per_
             .drop("_salt", "_start"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stored=checkpointed) -> DataFrame:
     """(node, root) for every node of ``edges`` (long u, v); root is the smallest node it is connected to.
 
     Alternating large and small stars: each round hangs neighbours below the smallest node they know. Minima are
     combined before the exchange, hubs meet their one minimum in a join that can be split, and every round is
-    checkpointed. Self-links are kept as nodes.
+    checkpointed (by ``stored``). Self-links are kept as nodes.
     """
     loops = edges.where("u = v").select(F.col("u").alias("node")).distinct()
-    links = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = checkpointed(large.where("u <> v"))
+        large = stored(large.where("u <> v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        links = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == state:
             break

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import blocks, checkpointed, components, text_bytes
+from gleanery.llm.common import blocks, components, settled, text_bytes
 from gleanery.llm.passages import shingles
 
 WIDTH = 4
@@ -49,6 +49,7 @@ SHARE = 0.5
 TILE = 1024
 TILE_SHINGLES = 1 << 19
 SLICE = 1 << 12  # shingles of an incidence matrix
+ROWS = 20_000  # entries of a stored partition
 PAIRS_PER_TASK = 512  # pairs of one entry that are confirmed together
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -249,8 +250,8 @@ def spanning(linked: np.ndarray):
 
 def node_links(rows: DataFrame, entries: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v) links, confirmed on full sets, that join the entries which the nodes of ``rows`` prove connected."""
-    rows = checkpointed(with_candidates(rows, percent))
-    wanted = checkpointed(entries.join(rows.select("sid").distinct(), "sid").select("k", "sid", "d1", "d2"))
+    rows = settled(with_candidates(rows, percent))
+    wanted = settled(entries.join(rows.select("sid").distinct(), "sid").select("k", "sid", "d1", "d2"))
     texts = documents.select(F.xxhash64("doc_id", "text").alias("k"), "text").join(wanted, "k").select("sid", "d1", "d2", "text")
 
     def hashed(batches):
@@ -294,16 +295,16 @@ def node_links(rows: DataFrame, entries: DataFrame, documents: DataFrame, width:
 
     names = ["node", "sid", "label", "n", "tokens"]
     dealt = rows.join(texts, "sid").select(*names, "d1", "d2", "text").repartition("node").sortWithinPartitions("node", "sid")
-    return checkpointed(dealt.mapInArrow(lambda batches: _by_node(hashed(batches), linked), "u long, v long").distinct())
+    return settled(dealt.mapInArrow(lambda batches: _by_node(hashed(batches), linked), "u long, v long").distinct())
 
 
 def confirmed(pairs: DataFrame, entries: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """The (u, v) of ``pairs`` whose full sets have the similarity."""
-    pairs = checkpointed(pairs)
+    pairs = settled(pairs)
     asked = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
-    wanted = checkpointed(entries.join(asked, "sid").select("k", "sid", "d1", "d2"))
+    wanted = settled(entries.join(asked, "sid").select("k", "sid", "d1", "d2"))
     texts = documents.select(F.xxhash64("doc_id", "text").alias("k"), "text").join(wanted, "k").select("sid", "d1", "d2", "text")
-    parts = checkpointed(pairs.groupBy("u").agg(F.expr(f"int(count(1) div {PAIRS_PER_TASK} + 1)").alias("parts")))
+    parts = settled(pairs.groupBy("u").agg(F.expr(f"int(count(1) div {PAIRS_PER_TASK} + 1)").alias("parts")))
     dealt = pairs.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), "parts").alias("part"))
     heads = parts.select("u", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part")).select("u", "part", F.col("u").alias("sid"), F.lit(0).alias("turn"))
     rows = heads.unionByName(dealt.select("u", "part", F.col("v").alias("sid"), F.lit(1).alias("turn"))).join(texts, "sid")
@@ -331,7 +332,7 @@ def confirmed(pairs: DataFrame, entries: DataFrame, documents: DataFrame, width:
 
     keys = ["u", "part", "turn", "sid", "d1", "d2", "text"]
     sorted_rows = rows.select(*keys).repartition("u", "part").sortWithinPartitions("u", "part", "turn")
-    return checkpointed(sorted_rows.mapInArrow(compared, "u long, v long").distinct())
+    return settled(sorted_rows.mapInArrow(compared, "u long, v long").distinct())
 
 
 def bounded_nodes(rows: DataFrame, entries: DataFrame, limit: int, tile: int, levels: int) -> DataFrame:
@@ -342,15 +343,15 @@ def bounded_nodes(rows: DataFrame, entries: DataFrame, limit: int, tile: int, le
         nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("above").alias("above"))
         close = (F.col("size") >= SHARE * F.col("above")) if level < levels else F.lit(True)
         kind = F.when(F.col("size") <= limit, "small").when(F.coalesce(close, F.lit(False)), "close").otherwise("large")
-        mixed = checkpointed(nodes.where("low <> high").select("node", "size", kind.alias("kind")))
+        mixed = settled(nodes.where("low <> high").select("node", "size", kind.alias("kind")))
         whole = rows.drop("above").join(mixed, "node").join(facts, "sid")
         ready.append(whole.where("kind = 'small'").select(*out))
         kinds = {r.kind for r in mixed.select("kind").distinct().collect()}
         if "close" in kinds:
-            ready.append(tiles(checkpointed(whole.where("kind = 'close'").select(*out)), tile))
+            ready.append(tiles(settled(whole.where("kind = 'close'").select(*out)), tile))
         if "large" not in kinds:
             break
-        rows = checkpointed(branches(whole.where("kind = 'large'").select("node", "sid", "label", "tokens", "size"), level).distinct())
+        rows = settled(branches(whole.where("kind = 'large'").select("node", "sid", "label", "tokens", "size"), level).distinct())
     return reduce(DataFrame.unionByName, ready)
 
 
@@ -359,7 +360,7 @@ def tiles(rows: DataFrame, tile: int) -> DataFrame:
     counts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     top = counts.groupBy("node").agg(F.max(F.struct("rows", "label", "shingles")).alias("top"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
     parts = lambda a, b: F.expr(f"greatest(ceil(({a}) / {tile}), ceil(({b}) / {TILE_SHINGLES}))")
-    dealt = checkpointed(top.select("node", F.col("top.label").alias("main"), parts("top.rows", "top.shingles").alias("mains"),
+    dealt = settled(top.select("node", F.col("top.label").alias("main"), parts("top.rows", "top.shingles").alias("mains"),
                                     parts("rows - top.rows", "shingles - top.shingles").alias("rests")))
     dealt = rows.join(dealt, "node")
     is_main = F.col("label") == F.col("main")
@@ -376,24 +377,24 @@ def tiles(rows: DataFrame, tile: int) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, limit: int = LIMIT, tile: int = TILE, levels: int = LEVELS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of documents(doc_id, text)."""
-    marked = checkpointed(signed(documents, width))
-    entries = checkpointed(marked.where("n > 0").groupBy("d1", "d2", "n", "heads", "tokens")
-                           .agg(F.min("doc_id").alias("first_id"), F.min("k").alias("k")).withColumn("sid", F.monotonically_increasing_id()))
+    marked = settled(signed(documents, width), ROWS)
+    entries = settled(marked.where("n > 0").groupBy("d1", "d2", "n", "heads", "tokens")
+                           .agg(F.min("doc_id").alias("first_id"), F.min("k").alias("k")).withColumn("sid", F.monotonically_increasing_id()), ROWS)
     rows = first_nodes(entries)
-    shared = checkpointed(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("u")).where("size > 1").select("node", "u"))
-    rows = checkpointed(rows.join(shared, "node"))
+    shared = settled(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("u")).where("size > 1").select("node", "u"))
+    rows = settled(rows.join(shared, "node"))
     spokes = rows.where("u <> sid").select("u", F.col("sid").alias("v")).distinct()
     links = confirmed(candidates(spokes, entries, percent), entries, documents, width, percent)
     lowest = links.groupBy(F.col("v").alias("sid")).agg(F.min("u").alias("label"))  # one step to the smallest partner, and one more
     further = lowest.select(F.col("sid").alias("label"), F.col("label").alias("lower"))
-    labels = checkpointed(lowest.join(further, "label", "left").select("sid", F.coalesce("lower", "label").alias("label")))
-    labelled = checkpointed(rows.join(labels, "sid", "left").select("node", "sid", F.coalesce("label", "sid").alias("label")))
+    labels = settled(lowest.join(further, "label", "left").select("sid", F.coalesce("lower", "label").alias("label")))
+    labelled = settled(rows.join(labels, "sid", "left").select("node", "sid", F.coalesce("label", "sid").alias("label")))
     links = links.union(node_links(bounded_nodes(labelled, entries, limit, tile, levels), entries, documents, width, percent))
-    roots = checkpointed(components(links).select(F.col("node").alias("sid"), "root"))
+    roots = settled(components(links, settled).select(F.col("node").alias("sid"), "root"))
     rooted = entries.select("sid", "d1", "d2", "n", "first_id").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    lowest = checkpointed(rooted.join(roots, "sid", "left_semi").groupBy("root").agg(F.min("first_id").alias("lowest")))
+    lowest = settled(rooted.join(roots, "sid", "left_semi").groupBy("root").agg(F.min("first_id").alias("lowest")))
     classes = rooted.join(lowest, "root", "left").select("d1", "d2", "n", F.coalesce("lowest", "first_id").alias("class_id"))
-    found = marked.select("doc_id", "n", "d1", "d2").join(checkpointed(classes), ["d1", "d2", "n"], "left")
+    found = marked.select("doc_id", "n", "d1", "d2").join(settled(classes), ["d1", "d2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
