@@ -51,7 +51,4 @@ def existing_paths(listed: DataFrame, files: DataFrame) -> DataFrame:
 
 def seed_urls(spark: SparkSession) -> DataFrame:
     """Start pages of a crawl with their source."""
-    department = f"https://{K.DEPARTMENT_HOST}{K.DEPARTMENT_PATH}"
-    rows = [(department + p, "department") for p in K.SEED_PATHS]
-    rows += [(f"https://{K.CATALOG_HOST}/{p}", "catalog") for p in K.SEED_CATALOG_PAGES]
-    return spark.createDataFrame(rows, "url string, source string")
+    return spark.createDataFrame(list(K.SEED_URLS), "url string, source string")
