@@ -78,10 +78,31 @@ def dialog_state(spark, d):
 
 
 def dialog_session_states(spark, d):
-    """State after every turn with summaries; each step needs the one before (no SQL counterpart)."""
+    """State after every turn, with summaries."""
     return dialogue.session_states(_turns(spark, d))
 
 
+def dialog_memory_context(spark, d):
+    """What the memory hands to a prompt at the end of every conversation."""
+    return dialogue.memory_context(_turns(spark, d))
+
+
+# The question is put by assistant turns of some conversations; users answer yes, no or with a question of their own.
+_ASKS = "role = 'assistant' AND (conv_id + turn) % 3 = 0"
+_ANSWER = "CASE WHEN role = 'user' THEN CASE conv_id % 4 WHEN 0 THEN 'Yes, do it.' WHEN 1 THEN 'Nope.' WHEN 2 THEN 'Who gives CSE 574?' ELSE '' END ELSE text END"
+
+
+def dialog_consent_states(spark, d):
+    """Consent to personalization after every turn."""
+    told = table(spark, d, "conversations").selectExpr("conv_id", "turn", "role", f"{_ANSWER} AS text")
+    return dialogue.consent_states(told, F.expr(_ASKS))
+
+
+def dialog_memory_after_reset(spark, d):
+    """Turns held and last entities where the memory is cleared by the third turn of every other conversation."""
+    return dialogue.state_summary(dialogue.since_reset(_turns(spark, d), F.expr("turn = 2 AND conv_id % 2 = 0")))
+
+
 # --- prompts --------------------------------------------------------------------------------------
 def _results(spark, d):
     docs = table(spark, d, "documents")
@@ -123,7 +144,8 @@ def debug_payloads(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     question_screening, screening_pass_rate, consent_reading, dialog_entities, dialog_last_entities, dialog_resolved, dialog_history,
-    dialog_recent_turns, dialog_profile, dialog_state, dialog_session_states, context_blocks, cited_sources, citation_footers,
+    dialog_recent_turns, dialog_profile, dialog_state, dialog_session_states, dialog_memory_context, dialog_consent_states,
+    dialog_memory_after_reset, context_blocks, cited_sources, citation_footers,
     answer_prompts, debug_payloads)}
 
 # --- oracle statements ----------------------------------------------------------------------------
@@ -167,6 +189,28 @@ _SYS = M.lit(K.SYSTEM_PROMPT)
 _BLOCK_SQL = "CASE WHEN coalesce(context, '') <> '' THEN chr(10) || chr(10) || '[Context from UB CSE website:]' || chr(10) || context ELSE '' END"
 _TOLD = "'User: hi' || chr(10) || 'Assistant: yes?' || chr(10) || 'noise' || chr(10) || 'User: ' || substr(query_text, 1, 20)"
 
+# The memory turn by turn: the held turns as a list, the summary written as they are dropped.
+_PERSON_OF = lambda names: f"list_filter({names}, lambda n: lower(n) NOT IN {M.sql_list(K.DIALOG_NAME_STOPLIST)})[-1]"
+_NAMES_IN = lambda c: f"regexp_extract_all({c}, {M.lit(K.PERSON_NAME)}, 1)"
+_LABELS = """list_transform(list_filter(flatten(list_transform(old, lambda t: [
+    CASE WHEN len(t.c) > 0 THEN 'courses (' || array_to_string(t.c[1:3], ', ') || ')' END, CASE WHEN len(t.n) > 0 THEN 'faculty (' || t.n[1] || ')' END])), lambda x: x IS NOT NULL), lambda x: x)"""
+_FIRST_OF = "list_filter(l, lambda x, i: list_position(l, x) = i)[1:4]"
+_MEMORY = f"""{_TURNS}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM t),
+    s AS (SELECT DISTINCT conv_id, 0::BIGINT AS pos, NULL::BIGINT AS turn, '' AS role, '' AS resolved, []::STRUCT(c VARCHAR[], n VARCHAR[])[] AS held, 0::BIGINT AS mark,
+              '' AS summary, '' AS course, '' AS person, '' AS program FROM o
+        UNION ALL SELECT conv_id, pos, turn, role, r, CASE WHEN due THEN now[-3:] ELSE now END, CASE WHEN due THEN len(now) ELSE mark END,
+              CASE WHEN due THEN 'User and assistant ' || concat_ws(', ', 'discussed course ' || list_filter(old, lambda t: len(t.c) > 0)[-1].c[-1],
+                  'discussed faculty member ' || list_filter(old, lambda t: len(t.n) > 0)[-1].n[-1], CASE WHEN len(l) > 0 THEN 'topics: ' || array_to_string({_FIRST_OF}, '; ') END) || '.'
+              ELSE summary END, coalesce(c[-1], course), coalesce({_PERSON_OF('n')}, person),
+              coalesce(nullif({M.strip("regexp_extract(r, " + M.lit('(?i)' + K.PROGRAM_MENTION) + ")")}, ''), program)
+        FROM (SELECT *, {_LABELS} AS l FROM (SELECT *, now[:len(now) - 3] AS old, role = 'assistant' AND len(now) >= 6 AND len(now) - mark >= 6 AS due
+        FROM (SELECT *, (held || [{{'c': c, 'n': n}}])[-8:] AS now FROM (SELECT *, {M.codes('r')} AS c, {_NAMES_IN('r')} AS n
+        FROM (SELECT *, CASE WHEN role = 'user' AND person <> '' AND len({_NAMES_IN('text')}) = 0 THEN regexp_replace(q, {M.lit(K.PERSON_PRONOUN)}, person, 'gi') ELSE q END AS r
+        FROM (SELECT o.conv_id, o.pos, o.turn, o.role, o.text, held, mark, summary, course, person, program,
+              CASE WHEN o.role = 'user' AND course <> '' AND len({M.codes('o.text')}) = 0 THEN regexp_replace(o.text, {M.lit(K.COURSE_PRONOUN)}, course, 'gi') ELSE o.text END AS q
+              FROM s JOIN o ON o.conv_id = s.conv_id AND o.pos = s.pos + 1))))))),
+    m AS MATERIALIZED (SELECT * FROM s WHERE pos > 0)"""
+
 ORACLES = {
     "question_screening": f"""WITH {_SCREENED} SELECT conv_id, turn, r.allowed AS allowed, r.reason AS reason, r.small_talk AS small_talk,
         md5(r.redirect) AS redirect_md5, md5(r.reply) AS reply_md5 FROM c""",
@@ -197,6 +241,26 @@ ORACLES = {
         k AS (SELECT conv_id, count(*) AS n, min(pos) FILTER (role = 'assistant' AND pos >= 6) AS s FROM o GROUP BY 1)
         SELECT conv_id, any_value(least(8, CASE WHEN s IS NULL THEN n ELSE 3 + n - s END)) AS turns, coalesce(last(course ORDER BY turn) FILTER (course IS NOT NULL), '') AS last_course,
         coalesce(last(person ORDER BY turn) FILTER (person IS NOT NULL), '') AS last_person, coalesce(last(program ORDER BY turn) FILTER (program IS NOT NULL), '') AS last_program FROM m JOIN k USING (conv_id) GROUP BY 1""",
+    "dialog_session_states": f"""WITH RECURSIVE {_MEMORY} SELECT conv_id, turn, role, resolved, len(held)::INTEGER AS kept_turns, summary, course AS last_course,
+        person AS last_person, program AS last_program FROM m""",
+    "dialog_memory_context": f"""WITH RECURSIVE {_MEMORY}, z AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+        h AS (SELECT m.conv_id, string_agg({_LINE.replace("text", "m.resolved").replace("role", "m.role")}, chr(10) ORDER BY m.pos) AS lines
+              FROM m JOIN z ON m.conv_id = z.conv_id AND m.pos > z.pos - least(4, len(z.held)) GROUP BY 1)
+        SELECT conv_id, len(held)::BIGINT AS turns, summary <> '' AS has_summary, course AS last_course, person AS last_person, program AS last_program,
+        CASE WHEN summary <> '' THEN '[Earlier: ' || summary || ']' || chr(10) ELSE '' END || lines AS history FROM z JOIN h USING (conv_id)""",
+    "dialog_consent_states": f"""WITH RECURSIVE o AS MATERIALIZED (SELECT conv_id, turn, role = 'user' AS u, {_ASKS} AS asks, lower({M.strip(_ANSWER)}) AS low,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations),
+        w AS MATERIALIZED (SELECT *, {_ANY(K.CONSENT_YES)} AS yes, {_ANY(K.CONSENT_QUESTION)} AND NOT {_ANY(K.CONSENT_NO)} AS aside FROM o),
+        s AS (SELECT DISTINCT conv_id, 0::BIGINT AS pos, NULL::BIGINT AS turn, 'never asked' AS consent, false AS intercepted FROM w
+            UNION ALL SELECT w.conv_id, w.pos, w.turn, CASE WHEN asks THEN 'pending' WHEN u AND consent = 'pending' THEN CASE WHEN yes THEN 'on' ELSE 'off' END ELSE consent END,
+            u AND consent = 'pending' AND (yes OR NOT aside) FROM s JOIN w ON w.conv_id = s.conv_id AND w.pos = s.pos + 1)
+        SELECT conv_id, turn, consent, intercepted FROM s WHERE pos > 0""",
+    "dialog_memory_after_reset": f"""WITH {_MENTIONS}, a AS (SELECT m.* FROM m LEFT JOIN (SELECT conv_id, turn AS cleared FROM m WHERE turn = 2 AND conv_id % 2 = 0) USING (conv_id)
+            WHERE turn > coalesce(cleared, -1)), p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM a),
+        k AS (SELECT conv_id, count(*) AS n, min(pos) FILTER (role = 'assistant' AND pos >= 6) AS s FROM p GROUP BY 1)
+        SELECT conv_id, any_value(least(8, CASE WHEN s IS NULL THEN n ELSE 3 + n - s END)) AS turns, coalesce(last(course ORDER BY turn) FILTER (course IS NOT NULL), '') AS last_course,
+        coalesce(last(person ORDER BY turn) FILTER (person IS NOT NULL), '') AS last_person, coalesce(last(program ORDER BY turn) FILTER (program IS NOT NULL), '') AS last_program
+        FROM a JOIN k USING (conv_id) GROUP BY 1""",
     "context_blocks": f"WITH {_RES} SELECT query_id, md5(context) AS context_md5, n_chunks FROM ctx",
     "cited_sources": f"WITH {_RES} SELECT * FROM src",
     "citation_footers": f"WITH {_RES} SELECT query_id, string_agg('[' || position || '] ' || url, chr(10) ORDER BY position) AS footer FROM src GROUP BY 1",
