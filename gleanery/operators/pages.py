@@ -17,19 +17,33 @@ from gleanery.functions import urls as U
 COURSE_STRUCT = "array<struct<code:string,title:string,credits:string,description:string,prereqs:array<string>>>"
 
 
+def render_blocks(blocks: Column) -> Column:
+    """Text of (kind, text) blocks that keeps headings, paragraphs, tables and list items on lines of their own."""
+    def line(b: Column) -> Column:
+        kind, text = b["kind"], b["text"]
+        return (F.when(kind == "heading", F.concat(F.lit("\n## "), text, F.lit("\n")))
+                .when(kind.isin("paragraph", "table"), F.concat(F.lit("\n"), text, F.lit("\n")))
+                .when(kind == "item", F.concat(F.lit("• "), text)).otherwise(text))
+
+    return F.array_join(F.transform(blocks, line), "\n")
+
+
 def extract_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Append ``title``, cleaned ``content`` and the anchors of every page."""
-    schema = "title string, raw string, anchors array<struct<href:string,text:string>>"
+    """Append ``title``, cleaned ``content`` and the anchors of every page; every page is parsed once. Null is an empty page."""
+    schema = "title string, blocks array<struct<kind:string,text:string>>, anchors array<struct<href:string,text:string>>"
 
     @F.pandas_udf(schema)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for htmls in batches:
-            rows = [(*H.extract_page(x), [{"href": h, "text": t} for h, t in H.anchors(x or "")]) for x in htmls]
-            yield pd.DataFrame(rows, columns=["title", "raw", "anchors"])
+            read = [H.Page(x) for x in htmls]
+            yield pd.DataFrame({"title": [p.title() for p in read],
+                                "blocks": [[{"kind": k, "text": t} for k, t in p.content()] for p in read],
+                                "anchors": [[{"href": h, "text": t} for h, t in p.links()] for p in read]})
 
-    out = pages.withColumn("parsed", parse(F.col(html_col)))
+    # not to be evaluated again for filters and projections above
+    out = pages.withColumn("parsed", parse.asNondeterministic()(F.col(html_col)))
     return out.select(*pages.columns, F.col("parsed.title").alias("title"),
-                      T.clean_lines(F.col("parsed.raw")).alias("content"), F.col("parsed.anchors").alias("anchors"))
+                      T.clean_lines(render_blocks(F.col("parsed.blocks"))).alias("content"), F.col("parsed.anchors").alias("anchors"))
 
 
 def page_records(pages: DataFrame, source: Column | None = None) -> DataFrame:
@@ -188,13 +202,28 @@ def attach_pdf_paths(pages: DataFrame, downloaded: DataFrame) -> DataFrame:
         "pdf_paths", F.coalesce(F.transform("p", lambda x: x["path"]), F.array().cast("array<string>"))).drop("p")
 
 
-def directory_records(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """People of directory pages; the last entry of a name wins. ``pages`` needs an ordering column ``page_no``."""
-    @F.pandas_udf("array<struct<name:string,email:string,office:string,phone:string,rank:string,"
-                  "research_topics:array<string>,profile_url:string>>")
+def directory_records(pages: DataFrame, html_col: str = "html", topics: int = 5) -> DataFrame:
+    """People of directory pages: list items with a bold name of two words or more and an in-house mail address.
+
+    The last entry of a name wins. ``pages`` needs an ordering column ``page_no``; ``topics`` bounds the topics of a person.
+    """
+    @F.pandas_udf("array<struct<bold:string,links:array<string>,text:string>>")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for htmls in batches:
-            yield pd.Series([H.directory_entries(x or "") for x in htmls])
-
-    rows = pages.select("page_no", F.posexplode(parse(F.col(html_col))).alias("pos", "r"))
-    return rows.groupBy("r.name").agg(F.max_by("r", F.struct("page_no", "pos")).alias("r")).select("r.*")
+            yield pd.Series([[{"bold": b, "links": t, "text": x} for b, t, x in H.Page(h).items()] for h in htmls])
+
+    items = pages.select("page_no", F.posexplode(parse.asNondeterministic()(F.col(html_col))).alias("pos", "i")).select("page_no", "pos", "i.*")
+    text, first = F.col("text"), lambda found: F.coalesce(F.get(found, 0), F.lit(""))
+    mails = F.transform(F.filter("links", lambda h: F.startswith(h, F.lit("mailto:"))), lambda h: T.strip(F.replace(h, F.lit("mailto:"), F.lit(""))))
+    ranks = F.filter(F.array(*[F.lit(r) for r in K.DIRECTORY_RANKS]), lambda r: F.contains(text, r))
+    listed = F.filter(F.transform(F.split(T.first_match(text, K.DIRECTORY_TOPICS), "[;,]"), T.strip), lambda t: t != "")
+    people = items.select(
+        "page_no", "pos", T.strip(T.replace_all(F.col("bold"), K.DEGREE_SUFFIX, "")).alias("name"),
+        first(F.filter(mails, lambda m: F.contains(m, F.lit(K.MAIL_DOMAIN)))).alias("email"),
+        T.first_match(text, K.DIRECTORY_OFFICE, 0).alias("office"), T.first_match(text, K.PHONE, 0).alias("phone"),
+        F.coalesce(F.get(ranks, 0), F.lit("Faculty")).alias("rank"), F.slice(listed, 1, topics).alias("research_topics"),
+        first(F.filter("links", lambda h: F.contains(h, F.lit("detail.html")))).alias("profile_url"))
+    kept = people.where((T.word_count(F.col("name")) >= 2) & (F.col("email") != ""))
+    fields = [c for c in people.columns if c not in ("page_no", "pos")]
+    return kept.groupBy(F.col("name").alias("person")).agg(
+        F.max_by(F.struct(*fields), F.struct("page_no", "pos")).alias("r")).select("r.*")

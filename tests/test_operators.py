@@ -84,12 +84,31 @@ PAGE = """<html><head><title>T | Site</title></head><body><nav>Menu</nav><div id
 <ul><li>Item a</li><li>Item b</li></ul><table><tr><td>x</td><td>y</td></tr></table><div aria-hidden="true">no</div>""" + "word " * 30 + "</div></body></html>"
 
 
-def test_html_structure():
-    title, text = H.extract_page(PAGE)
-    assert title == "T"
+def test_html_structure(spark):
+    row = pages.extract_html(spark.createDataFrame([(PAGE, "mine")], "html string, blocks string")).first()
+    title, text = row["title"], row["content"]
+    assert title == "T" and row["blocks"] == "mine"
     assert "## Head" in text and "• Item a" in text and "x | y" in text and "Menu" not in text and "no\n" not in text
 
 
+def test_html_blocks():
+    page = H.Page("<body>a<div>b<p>c <b>d</b></p></div><ol>x<li>e<ul><li>f</ul></li></ol><table><tr><td>g<table><tr><th>h</table></td><td> </td></tr></table><em>i")
+    assert page.content() == [("text", "a"), ("text", "b"), ("paragraph", "c d"), ("item", "e f"), ("table", "g h | h\nh"), ("other", "i")]
+    assert H.Page(None).content() == [] and H.Page("").title() == ""
+
+
+def test_deep_nesting():
+    """A page may nest as deep as it likes."""
+    page = H.Page("<body>" + "<div><span>" * 50_000 + "deep " * 31 + "</span></div>" * 50_000 + "<p>end</p></body>")
+    assert [k for k, _ in page.content()] == ["other", "paragraph"]
+
+
+def test_page_is_parsed_once(spark):
+    told = pages.page_records(pages.extract_html(spark.createDataFrame([("https://x/y", PAGE)], "url string, html string")))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_course_records_first_occurrence(spark):
     text = "CSE 115: Intro to X Credits: 4\nBasics.\nCSE 474 - Machine\nStuff\nCSE 115: Again here"
     got = one(spark, text, lambda c: pages.course_records(c))
