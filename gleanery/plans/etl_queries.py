@@ -114,7 +114,7 @@ def quality_gated(spark, d):
 
 # --- pages ----------------------------------------------------------------------------------------
 def page_texts(spark, d):
-    """Title and main text of every raw page (HTML parsing has no SQL counterpart)."""
+    """Title and main text of every raw page."""
     out = pages.extract_html(table(spark, d, "pages"))
     return out.select("page_id", "title", T.word_count(F.col("content")).cast("bigint").alias("words"), F.md5("content").alias("content_md5"),
                       F.size("anchors").cast("bigint").alias("n_anchors"))
@@ -317,6 +317,38 @@ def _site(select: str) -> str:
     return f"WITH {site_sql()} {select}"
 
 
+_TITLE = """trim(split_part(regexp_extract(html, '<h1>([^<]*)</h1>', 1)
+        .replace('&amp;', '&').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"'), '|', 1))"""
+
+
+def _cleaned(source: str, key: str) -> str:
+    """CTEs up to ``t`` (key, t): the lines of ``text`` that are kept."""
+    return rf"""l AS (SELECT {key}, list_filter(list_transform(string_split(regexp_replace(text, {M.lit(_JSON_BLOB)}, '', 'g'), chr(10)),
+            lambda s: {M.strip('s')}), lambda s: length(s) >= 2 AND NOT regexp_matches(s, {M.lit('(?i)' + K.NOISE_LINE)})
+            AND (regexp_matches(s, {M.lit('(?i)' + K.CODE_LOOSE)}) OR length(s) <= 5
+                 OR length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) / length(s) >= 0.40)) AS ls FROM {source}),
+        k AS (SELECT {key}, ls, list_transform(ls, lambda s: {M.collapse('lower(s)')}) AS ks FROM l),
+        t AS (SELECT {key}, {M.strip("array_to_string(list_filter(ls, lambda s, i: list_position(ks, ks[i]) = i), chr(10))")} AS t FROM k)"""
+
+
+# Main text of the given pages: a notice in a div, then an article of one heading and paragraphs, of which some are never
+# closed, so that all that follows until as many ends belongs to the first of them.
+_PAGE_TEXT = rf"""pieces AS MATERIALIZED (SELECT page_id, unnest(x) AS piece, generate_subscripts(x, 1) AS i
+            FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>|[^<]+') AS x FROM pages)),
+        sums AS (SELECT *, sum(CASE piece WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER w AS level,
+            sum(CASE piece WHEN '<h1>' THEN 1 WHEN '</h1>' THEN -1 ELSE 0 END) OVER w AS heading FROM pieces WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+        depths AS (SELECT *, level - least(0, min(level) OVER w) AS depth FROM sums WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+        begun AS (SELECT *, piece = '<p>' AND depth = 1 AS opens FROM depths),
+        numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY page_id ORDER BY i) AS block FROM begun),
+        said AS (SELECT *, {M.strip("replace(regexp_replace(piece, '&amp;?', '&', 'g'), '&quot;', chr(34))")} AS words FROM numbered WHERE piece[1] <> '<'),
+        parts AS (SELECT page_id, min(i) AS i, CASE WHEN any_value(heading) > 0 THEN chr(10) || '## ' || string_agg(words, ' ' ORDER BY i) || chr(10)
+                WHEN any_value(depth) > 0 THEN chr(10) || string_agg(words, ' ' ORDER BY i) || chr(10) ELSE string_agg(words, chr(10) ORDER BY i) END AS part
+            FROM said WHERE words <> '' GROUP BY page_id, heading > 0, CASE WHEN depth > 0 THEN block ELSE -i END),
+        article AS (SELECT page_id, string_agg(part, chr(10) ORDER BY i) AS a FROM parts GROUP BY 1),
+        whole AS (SELECT page_id, CASE WHEN {M.words("coalesce(a, '')")} > 30 THEN a
+            ELSE concat_ws(chr(10), nullif({M.strip("replace(regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1), '&amp;', '&')")}, ''), a) END AS text
+            FROM pages LEFT JOIN article USING (page_id)), {_cleaned('whole', 'page_id')}"""
+
 ORACLES = {
     "content_hash_dedup": f"SELECT {_HASH} AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "deduplicated_documents": f"""SELECT doc_id, lang, source, n_chars, {_HASH} AS content_hash FROM documents
@@ -336,13 +368,7 @@ ORACLES = {
     "extracted_links": r"""SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || ref AS target, count(*) AS n
         FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS ref FROM pages) GROUP BY ALL""",
     "documents_by_payload": "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND source = 'src3'",
-    "cleaned_lines": rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, {M.lit(_JSON_BLOB)}, '', 'g'), chr(10)),
-            lambda s: {M.strip('s')}), lambda s: length(s) >= 2 AND NOT regexp_matches(s, {M.lit('(?i)' + K.NOISE_LINE)})
-            AND (regexp_matches(s, {M.lit('(?i)' + K.CODE_LOOSE)}) OR length(s) <= 5
-                 OR length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) / length(s) >= 0.40)) AS ls FROM documents),
-        k AS (SELECT doc_id, ls, list_transform(ls, lambda s: {M.collapse('lower(s)')}) AS ks FROM l),
-        t AS (SELECT doc_id, {M.strip("array_to_string(list_filter(ls, lambda s, i: list_position(ks, ks[i]) = i), chr(10))")} AS t FROM k)
-        SELECT doc_id, length(t)::INT AS n_chars, md5(t) AS text_md5 FROM t""",
+    "cleaned_lines": f"WITH {_cleaned('documents', 'doc_id')} SELECT doc_id, length(t)::INT AS n_chars, md5(t) AS text_md5 FROM t",
     "text_measures": rf"""SELECT doc_id, {M.words('text')} AS words, round(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / greatest(length(text), 1), 6) AS alpha,
         md5(CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '…' ELSE text END) AS short_md5 FROM documents""",
     "heading_paths": rf"""WITH {_HEADED}, h AS (SELECT doc_id, regexp_extract_all(text, '(?m)^##\s+(.+)$', 1) AS h FROM headed)
@@ -352,8 +378,9 @@ ORACLES = {
     "boilerplate_stripped": f"WITH {_STRIPPED} SELECT doc_id, md5(t) AS text_md5, {M.words('t')} AS words FROM cleaned",
     "quality_gated": rf"""WITH {_STRIPPED} SELECT doc_id, lang FROM cleaned WHERE {M.words('t')} >= 25
         AND length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) / greatest(length(t), 1) >= 0.45""",
-    "page_titles": r"""SELECT page_id, trim(split_part(regexp_extract(html, '<h1>([^<]*)</h1>', 1)
-        .replace('&amp;', '&').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"'), '|', 1)) AS title FROM pages""",
+    "page_titles": f"SELECT page_id, {_TITLE} AS title FROM pages",
+    "page_texts": f"""WITH {_PAGE_TEXT} SELECT page_id, {_TITLE} AS title, {M.words('t')} AS words, md5(t) AS content_md5,
+        len(regexp_extract_all(html, '<a href="')) AS n_anchors FROM pages JOIN t USING (page_id)""",
     "merged_sources": f"""WITH u AS (SELECT 0 AS prio, 'doc:' || lpad(doc_id::VARCHAR, 12, '0') AS url, {M.strip('text')} AS text, source FROM documents UNION ALL
             SELECT 1, 'item:' || lpad(item_id::VARCHAR, 12, '0'), {M.strip('text')}, 'pdf' FROM benchmark)
         SELECT {_HASH} AS content_hash, url, source, {M.words('text')} AS words FROM u WHERE {M.words('text')} >= 30
