@@ -348,6 +348,9 @@ _PAGE_TEXT = rf"""pieces AS MATERIALIZED (SELECT page_id, unnest(x) AS piece, ge
         whole AS (SELECT page_id, CASE WHEN {M.words("coalesce(a, '')")} > 30 THEN a
             ELSE concat_ws(chr(10), nullif({M.strip("replace(regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1), '&amp;', '&')")}, ''), a) END AS text
             FROM pages LEFT JOIN article USING (page_id)), {_cleaned('whole', 'page_id')}"""
+_CRAWLED = f"""{_PAGE_TEXT}, crawled AS (SELECT page_id, url, html, {_TITLE} AS title, {M.case_chain('url', K.PAGE_TYPES, 'general')} AS page_type,
+            CASE WHEN contains(url, '{K.CATALOG_HOST}') THEN 'catalog' ELSE 'department' END AS source,
+            md5({M.fingerprint('t')}) AS content_hash, {M.words('t')}::INT AS word_count FROM pages JOIN t USING (page_id) WHERE {M.words('t')} >= 25)"""
 
 ORACLES = {
     "content_hash_dedup": f"SELECT {_HASH} AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
@@ -381,6 +384,11 @@ ORACLES = {
     "page_titles": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "page_texts": f"""WITH {_PAGE_TEXT} SELECT page_id, {_TITLE} AS title, {M.words('t')} AS words, md5(t) AS content_md5,
         len(regexp_extract_all(html, '<a href="')) AS n_anchors FROM pages JOIN t USING (page_id)""",
+    "crawled_pages": f"""WITH {_CRAWLED} SELECT page_id, url, title, page_type, source, content_hash, word_count,
+        len(regexp_extract_all(html, '<a href="'))::INT AS n_links FROM crawled
+        QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY page_id) = 1""",
+    "page_documents": f"""WITH {_CRAWLED} SELECT content_hash AS id, url, title, page_type, source, word_count, 0 AS depth FROM crawled WHERE word_count >= 30
+        QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY url, source, title) = 1""",
     "merged_sources": f"""WITH u AS (SELECT 0 AS prio, 'doc:' || lpad(doc_id::VARCHAR, 12, '0') AS url, {M.strip('text')} AS text, source FROM documents UNION ALL
             SELECT 1, 'item:' || lpad(item_id::VARCHAR, 12, '0'), {M.strip('text')}, 'pdf' FROM benchmark)
         SELECT {_HASH} AS content_hash, url, source, {M.words('text')} AS words FROM u WHERE {M.words('text')} >= 30
