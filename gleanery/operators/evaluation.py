@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.session import ensure_checkpoint_dir
 
 K_VALUES = (1, 3, 5, 10)
 
@@ -48,37 +50,57 @@ def mean_metrics(per_query: DataFrame, k_values: Sequence[int] = K_VALUES) -> Da
         F.round(F.avg("rr"), 4).alias("mrr"), F.round(F.avg("ndcg"), 4).alias("ndcg"))
 
 
+GRID = 256  # quantiles by which a round narrows every bracket
+
+
 def exact_percentiles(
-    df: DataFrame, by: str, value: str, percents: Sequence[float] = (0.5, 0.9, 0.95), accuracy: int = 10_000
+    df: DataFrame, by: str, value: str, percents: Sequence[float] = (0.5, 0.9, 0.95), accuracy: int = 10_000, most: int = 4096
 ) -> DataFrame:
-    """``sorted(values)[int(n * p)]`` per group, without gathering a group in one place.
+    """(grp, p, value, n, mean) with ``sorted(values)[int(n * p)]`` per group; nulls are left out, a null group is none.
 
-    A quantile sketch brackets each order statistic; one aggregation counts the rows below every bracket; only the rows
-    inside the brackets (about ``4 / accuracy`` of a group, as distinct values with counts) are ordered. The bracket is
-    widened by twice the sketch's rank error, so it always contains the answer.
+    Selection in rounds, for all groups and percentiles at once. A bracket is an open interval with the counts below it and
+    at its ends; one map-side combined aggregation a round counts them and takes a sketch of the rows inside, whose
+    quantiles around the wanted rank are the next bracket (about 1/40 of it). An answer that lies at an end is found
+    however many ties it has. What is ordered in the end is one bracket of at most ``most`` rows.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("grp"), F.col(value).cast("double").alias("v"))
-    margin = 2.0 / accuracy
-    probes = [q for p in percents for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = rows.groupBy("grp").agg(
-        F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
-        F.percentile_approx("v", [float(q) for q in probes], F.lit(accuracy)).alias("q"))
-    brackets = sketch.select("grp", "n", "mean", F.explode(F.array(*[
-        F.struct(
-            F.lit(p).alias("p"),
-            (F.when(F.lit(p) - margin <= 0, F.col("vmin")).otherwise(F.col("q")[2 * i])).alias("lo"),
-            (F.when(F.lit(p) + margin >= 1, F.col("vmax")).otherwise(F.col("q")[2 * i + 1])).alias("hi"))
-        for i, p in enumerate(percents)])).alias("b")).select(
-        "grp", "n", "mean", "b.p", "b.lo", "b.hi", F.floor(F.col("n") * F.col("b.p")).alias("target"))
-    # the bracket table has one row per (group, percentile); Spark broadcasts it when its measured size allows
-    placed = rows.join(brackets, "grp").where(F.col("v") <= F.col("hi"))
-    below = F.sum(F.when(F.col("v") < F.col("lo"), 1).otherwise(0))
-    histogram = placed.groupBy("grp", "p", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(
-        F.count("*").alias("c"), F.first("target").alias("target"), F.first("n").alias("n"),
-        F.first("mean").alias("mean"), below.alias("below"))
-    running = F.sum("c").over(Window.partitionBy("grp", "p").orderBy(F.col("v").asc_nulls_first()))
-    return (histogram.withColumn("upto", running).where((F.col("upto") > F.col("target")) & F.col("v").isNotNull())
-            .groupBy("grp", "p").agg(F.min("v").alias("value"), F.first("n").alias("n"), F.first("mean").alias("mean")))
+    groups = rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = groups.where(F.col("grp").isNotNull()).select("*", F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("p")).withColumn(
+        "target", F.floor(F.col("n") * F.col("p"))).where("target < n").withColumns(
+        {"value": F.lit(None).cast("double"), "rank": F.lit(0).cast("bigint"), "within": F.col("n")}).checkpoint()
+    margin = math.ceil(GRID / accuracy) + 1  # grid cells by which the sketch may be off
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    while True:
+        open_ones = state.where(F.col("value").isNull() & (F.col("within") > most))
+        if open_ones.isEmpty():
+            break
+        inside = (v > lo) & (v < hi)
+        seen = rows.join(open_ones.select("grp", "p", "lo", "hi"), "grp").groupBy("grp", "p").agg(
+            F.count_if(v < lo).alias("below"), F.count_if(v == lo).alias("at_lo"), F.count_if(v == hi).alias("at_hi"), F.count_if(inside).alias("held"),
+            F.percentile_approx(F.when(inside, v), [i / GRID for i in range(GRID + 1)], F.lit(accuracy)).alias("grid"))
+        rank = F.col("target") - F.col("below") - F.col("at_lo")  # among the rows inside
+        cell = F.floor(rank * GRID / F.col("held")).cast("int")
+        missed = (F.col("target") < F.col("below")) | (F.col("rank") >= F.col("held") + F.col("at_hi"))
+        looked = open_ones.drop("rank", "within", "value").join(seen, ["grp", "p"]).withColumn("rank", rank).withColumn(
+            "rank", F.when(missed, F.raise_error(F.lit("a bracket lost its percentile")).cast("bigint")).otherwise(F.col("rank")))
+        narrowed = looked.select(
+            "grp", "n", "mean", F.when(F.col("rank").between(0, F.col("held") - 1), F.get("grid", F.greatest(cell - margin, F.lit(0)))).otherwise(lo).alias("lo"),
+            F.when(F.col("rank").between(0, F.col("held") - 1), F.get("grid", F.least(cell + 1 + margin, F.lit(GRID)))).otherwise(hi).alias("hi"), "p", "target",
+            F.when(F.col("rank") < 0, lo).when(F.col("rank") >= F.col("held"), hi).alias("value"), "rank", F.col("held").alias("within"),
+            lo.alias("low"), hi.alias("high"))
+        # a bracket with few rows inside is kept as it is and ordered below
+        few = F.col("within") <= most
+        narrowed = narrowed.withColumns({"lo": F.when(few, F.col("low")).otherwise(lo), "hi": F.when(few, F.col("high")).otherwise(hi)}).drop("low", "high")
+        settled = state.where(F.col("value").isNotNull() | (F.col("within") <= most))
+        state = settled.unionByName(narrowed).checkpoint()
+    left = state.where("value IS NULL")
+    # a group that never had more than `most` rows still spans its ends
+    whole = F.col("within") == F.col("n")
+    placed = rows.join(left.drop("value", "mean"), "grp").where(whole | ((v > lo) & (v < hi)))
+    ordered = placed.groupBy("grp", "p").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.first(F.when(whole, F.col("target")).otherwise(F.col("rank"))).alias("at"))
+    picked = ordered.select("grp", "p", F.get("vs", F.col("at")).alias("found"))
+    return state.join(picked, ["grp", "p"], "left").select("grp", "p", F.coalesce("value", "found").alias("value"), "n", "mean")
 
 
 def pass_rate(checked: DataFrame) -> DataFrame:

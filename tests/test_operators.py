@@ -336,6 +336,22 @@ def test_percentiles(spark, n):
     assert {r["p"]: r["value"] for r in got} == {p: sorted(values)[int(n * p)] for p in (0.5, 0.9, 0.95)}
 
 
+def test_percentiles_of_ties_and_skew(spark):
+    """A million equal rows beside a few others, values over many magnitudes, infinities, nulls and a null group; no window."""
+    ties = spark.range(1_000_000).select(F.lit("ties").alias("g"), F.lit(7.0).alias("v"))
+    few = spark.createDataFrame([("ties", 1.0)] * 3 + [("ties", 9.0), ("one", 2.0), ("none", None), (None, 1.0), ("inf", float("inf")), ("inf", float("-inf"))], "g string, v double")
+    wide = spark.range(60_000).select(F.lit("wide").alias("g"), F.exp(F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double") - 500).alias("v"))
+    # half of the rows at either end of a bracket
+    ends = spark.range(50_000).select(F.lit("ends").alias("g"), F.when(F.col("id") < 25_001, 0.0).when(F.col("id") < 49_000, 100.0).otherwise(F.col("id").cast("double")).alias("v"))
+    rows = ties.union(few).union(wide).union(ends)
+    out = evaluation.exact_percentiles(rows, "g", "v", percents=(0.0, 0.5, 0.9, 0.999), most=50)
+    got = {(r.grp, r.p): r.value for r in out.collect()}
+    groups = {"wide": [r.v for r in wide.collect()], "ends": [r.v for r in ends.collect()], "ties": [1.0] * 3 + [7.0] * 1_000_000 + [9.0],
+              "one": [2.0], "inf": [float("-inf"), float("inf")]}
+    assert got == {(g, p): sorted(vs)[int(len(vs) * p)] for g, vs in groups.items() for p in (0.0, 0.5, 0.9, 0.999)}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 # --- graph ----------------------------------------------------------------------------------------
 def test_contains_join(spark):
     rng = random.Random(4)
