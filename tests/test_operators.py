@@ -353,12 +353,25 @@ def test_percentiles_of_ties_and_skew(spark):
 
 
 # --- graph ----------------------------------------------------------------------------------------
-def test_contains_join(spark):
+@pytest.mark.parametrize("automaton_chars", [1 << 20, 0])
+def test_contains_join(spark, automaton_chars):
+    """Both ways give the brute-force pairs: long and short patterns, characters beyond the basic plane, nulls, repeated ids."""
     rng = random.Random(4)
-    texts = [(i, "".join(rng.choices("ab ", k=30))) for i in range(40)]
-    patterns = ["a", "ab", "bba", "abab", "a b a b", "bbbbbbbb", ""]
-    got = contains_pairs(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()
-    assert {(r["id"], r["pattern"]) for r in got} == {(i, p) for i, t in texts for p in patterns if p and p in t}
+    texts = [(i, "".join(rng.choices("ab é😀\n", k=60))) for i in range(60)] + [(1, "abab"), (None, "bba"), (7, None), (8, "")]
+    patterns = ["a", "ab", "bba", "abab", "a b a b", "bbbbbbbb", "😀", "é😀", "b\na", texts[3][1], texts[5][1][4:40], "", None, "ab"]
+    got = contains_pairs(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"),
+                         automaton_chars).collect()
+    assert {(r["id"], r["pattern"]) for r in got} == {(i, p) for i, t in texts for p in patterns if p and t and p in t}
+    assert len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("automaton_chars", [1 << 20, 0])
+def test_contains_join_hot_gram(spark, automaton_chars):
+    """A pattern that every text holds, and none of whose grams is rare; ids that are structs."""
+    texts = spark.range(3000).select(F.struct(F.lit("p").alias("kind"), "id").alias("id"), F.concat(F.lit("x" * 500), F.col("id").cast("string")).alias("text"))
+    got = contains_pairs(texts, spark.createDataFrame([("x" * 400,), ("x2999",), ("y" * 9,)], "pattern string"), automaton_chars)
+    assert {(r["pattern"], r["n"]) for r in got.groupBy("pattern").agg(F.count("*").alias("n")).collect()} == {("x" * 400, 3000), ("x2999", 1)}
+    assert not contains_pairs(texts, spark.createDataFrame([], "pattern string"), automaton_chars).count()
 
 
 def test_merge_keeps_first_non_empty(spark):
