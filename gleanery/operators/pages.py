@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,11 @@ from gleanery.config import DEFAULTS
 from gleanery.functions import html as H
 from gleanery.functions import text as T
 from gleanery.functions import urls as U
+from gleanery.functions.text import free_name
+from gleanery.plans.sizing import fits
+from gleanery.session import ensure_checkpoint_dir
 
+SHIPPED_BLOCKS = 500_000  # digests of frequent blocks that may be sent to every task (8 MB)
 COURSE_STRUCT = "array<struct<code:string,title:string,credits:string,description:string,prereqs:array<string>>>"
 
 
@@ -160,26 +167,61 @@ def block_counts(docs: DataFrame, text_col: str, separator: str = "\n{2,}", min_
             .where(F.length("block") >= min_chars).groupBy("block").agg(F.count("*").alias("n")))
 
 
+def _block_digests(text: Column, separator: str, min_chars: int) -> Column:
+    """128-bit digests (a, b) of the blocks of a text, in order; null for a block that is too short to count."""
+    return F.transform(block_keys(text, separator), lambda k: F.when(F.length(k) >= min_chars, F.struct(
+        F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b"))))
+
+
 def strip_boilerplate(
     docs: DataFrame, id_col: str, text_col: str, separator: str = "\n{2,}", joiner: str = "\n\n",
-    threshold: int = DEFAULTS.bp_threshold, min_chars: int = 20,
+    threshold: int = DEFAULTS.bp_threshold, min_chars: int = 20, shipped: int = SHIPPED_BLOCKS,
 ) -> DataFrame:
     """Remove blocks that occur at least ``threshold`` times in the corpus and rebuild every text.
 
-    Only 16-byte block digests are shuffled. Each document learns which of its own blocks to drop and filters them in
-    place, so texts are exchanged at most once, and not at all while the list of affected documents is small.
+    One scan counts block digests, combined before their exchange. If at most ``shipped`` of them are frequent they are sent
+    to the tasks, and a second scan filters every text where it lies. More of them meet the documents' own digests in a join,
+    and a document learns which of its blocks to drop. ``id_col`` identifies a document.
     """
-    digests = T.unnest(docs, F.array_distinct(F.transform(
-        F.filter(block_keys(F.col(text_col), separator), lambda b: F.length(b) >= min_chars), F.md5)), "digest", id_col)
-    frequent = (T.unnest(docs, block_keys(F.col(text_col), separator), "block")
-                .where(F.length("block") >= min_chars).groupBy(F.md5("block").alias("digest"))
-                .agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("digest"))
-    drop = (digests.join(frequent, "digest", "left_semi").groupBy(id_col)
-            .agg(F.collect_set("digest").alias("drop")))
-    kept = F.filter(F.split(text_col, separator),
-                    lambda b: ~F.coalesce(F.array_contains("drop", F.md5(T.fingerprint_text(b))), F.lit(False)))
-    cleaned = T.strip(F.array_join(kept, joiner))
-    return docs.join(drop, id_col, "left").withColumn(text_col, cleaned).drop("drop")
+    own = _block_digests(F.col(text_col), separator, min_chars)
+    ensure_checkpoint_dir(docs.sparkSession)
+    frequent = (T.unnest(docs, F.array_compact(own), "d").groupBy("d").agg(F.count("*").alias("n"))
+                .where(F.col("n") >= threshold).select("d").checkpoint())
+    flags = free_name(docs, "_drop")
+    if fits(frequent, shipped):
+        flagged = docs.withColumn(flags, _in_digests(frequent.select("d.a", "d.b"))(F.transform(own, lambda d: d["a"]), F.transform(own, lambda d: d["b"])))
+        wanted = lambda i: ~F.get(flags, i)
+    else:
+        listed = T.unnest(docs, F.array_distinct(F.array_compact(own)), "d", id_col).join(frequent, "d", "left_semi")
+        drop = listed.groupBy(id_col).agg(F.collect_set("d").alias(flags))
+        flagged = docs.join(drop, id_col, "left")
+        wanted = lambda i: ~F.coalesce(F.array_contains(flags, F.get(own, i)), F.lit(False))
+    kept = F.filter(F.split(text_col, separator), lambda _, i: wanted(i))
+    return flagged.withColumn(text_col, T.strip(F.array_join(kept, joiner))).drop(flags)
+
+
+def _in_digests(digests: DataFrame):
+    """Column function of two long arrays: which places hold a pair of ``digests`` (a, b), whose number is bounded by the caller."""
+    pairs = np.array([tuple(r) for r in digests.collect()], np.int64).reshape(-1, 2)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    starts = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0]))[:len(pairs)]
+    most = int(np.diff(np.append(starts, len(pairs))).max(initial=0))  # pairs that share a first half
+    held = digests.sparkSession.sparkContext.broadcast(pairs)
+
+    @F.arrow_udf("array<boolean>")
+    def check(first: pa.Array, second: pa.Array) -> pa.Array:
+        known = held.value
+        sizes = pc.fill_null(pc.list_value_length(first), 0).to_numpy(zero_copy_only=False)
+        valid = first.flatten().is_valid().to_numpy(zero_copy_only=False)
+        a, b = (pc.fill_null(x.flatten(), 0).to_numpy(zero_copy_only=False) for x in (first, second))
+        hit, at = np.zeros(len(a), bool), np.searchsorted(known[:, 0], a)
+        for j in range(most):
+            place = np.minimum(at + j, len(known) - 1)
+            hit |= (known[place, 0] == a) & (known[place, 1] == b)
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hit & valid))
+
+    return check.asNondeterministic()
 
 
 def quality_gate(docs: DataFrame, text_col: str, min_words: int = DEFAULTS.crawl_min_words,

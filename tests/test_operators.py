@@ -115,11 +115,19 @@ def test_course_records_first_occurrence(spark):
     assert [r["code"] for r in got] == ["CSE 115", "CSE 474"]
 
 
-def test_strip_boilerplate_matches_brute_force(spark):
+@pytest.mark.parametrize("shipped", [1000, 0])
+def test_strip_boilerplate_matches_brute_force(spark, shipped):
+    """Both ways; a user's column may have the helper's name."""
     rng = random.Random(5)
     blocks = [f"shared block number {i} with enough text" for i in range(6)]
     texts = [(i, "\n\n".join(rng.sample(blocks, 3) + [f"own text of page {i} that nobody else has"])) for i in range(30)]
-    got = {r["id"]: r["text"] for r in pages.strip_boilerplate(spark.createDataFrame(texts, "id int, text string"), "id", "text").collect()}
+    rows = spark.createDataFrame([*texts, (98, None), (99, "")], "id int, text string").withColumn("_drop", F.col("id") * 2)
+    out = pages.strip_boilerplate(rows, "id", "text", shipped=shipped)
+    if shipped:  # texts are not exchanged
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["id", "text", "_drop"] and all(r["_drop"] == 2 * r["id"] for r in out.collect())
+    got = {r["id"]: r["text"] for r in out.collect()}
+    assert got[98] is None and got[99] == ""
     count = {b: sum(b in t for _, t in texts) for b in blocks}
     for i, t in texts:
         assert got[i] == "\n\n".join(b for b in t.split("\n\n") if count.get(b, 0) < 12)
