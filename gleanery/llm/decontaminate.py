@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.functions.text import free_name
 from gleanery.llm.common import blocks
 
 Q = 6
@@ -191,7 +192,12 @@ def _search(items, q, rate, keys, schema):
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``documents`` without the rows in which a benchmark item occurs; columns pass through."""
-    tagged = documents.withColumn("_row", F.xxhash64("doc_id", "text"))
-    bad = leaks(tagged, benchmark, keys=("_row",), **options).select("_row").distinct()
-    return tagged.join(bad, "_row", "left_anti").select(*documents.columns)
+    """``documents`` without the rows in which a benchmark item occurs; columns pass through, whatever their names.
+
+    A row is known by a 128-bit hash of its doc_id and text; nulls are values of their own.
+    """
+    keys = (free_name(documents, "_row"), free_name(documents, "_row_again"))
+    hashes = (F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text"))
+    tagged = documents.withColumns(dict(zip(keys, hashes)))
+    bad = leaks(tagged, benchmark, keys=keys, **options).select(*keys).distinct()
+    return tagged.join(bad, list(keys), "left_anti").drop(*keys)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.functions.text import free_name
 from gleanery.llm.common import blocks, text_bytes
 
 UNKNOWN = "und"
@@ -250,24 +251,29 @@ def fit(labelled: DataFrame, rows_per_label: int = ROWS_PER_LABEL, sample_chars:
     return train([t for _, t in rows], [lang for lang, _ in rows], **options)
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` (any columns with text) with lang_pred and score."""
-    columns = documents.columns
-    source = documents.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(documents: DataFrame, model: Model, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``documents`` (any columns with text) with two more columns, by default lang_pred and score.
+
+    A column of ``documents`` that has one of these names is replaced; all others pass through. A model without labels
+    answers ``und`` for every row.
+    """
+    columns = [c for c in documents.columns if c.lower() not in (lang_pred.lower(), score.lower())]
+    lettered = free_name(documents, "_letters")
+    source = documents.withColumn(lettered, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = T.StructType([*(documents.schema[c] for c in columns), T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def label(batches):
         names = np.array([*model.labels, UNKNOWN], object)
         for part in blocks(batches):
-            letters = part.column("_letters").to_numpy(zero_copy_only=False)
+            letters = part.column(lettered).to_numpy(zero_copy_only=False)
             if model.labels:
                 p = document_probabilities(model, *text_bytes(part.column("text")))
-                best, score = p.argmax(axis=1), p.max(axis=1)
+                best, sure = p.argmax(axis=1), p.max(axis=1)
             else:
-                best, score = np.zeros(len(letters), int), np.zeros(len(letters))
+                best, sure = np.zeros(len(letters), int), np.zeros(len(letters))
                 letters = np.zeros(len(letters), bool)
-            best, score = np.where(letters, best, len(names) - 1), np.where(letters, np.clip(score, 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(names[best], pa.string()), pa.array(score)],
+            best, sure = np.where(letters, best, len(names) - 1), np.where(letters, np.clip(sure, 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(names[best], pa.string()), pa.array(sure)],
                                              names=schema.names)
 
     return source.mapInArrow(label, schema)

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import free_name
 from gleanery.llm.common import checkpointed, components, text_bytes
 
 WIDTH = 4
@@ -173,18 +174,19 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, bits: int = BITS)
 def one_of_each(documents: DataFrame, width: int = WIDTH, bits: int = BITS) -> DataFrame:
     """``documents`` with one row of each component left: the smallest doc_id, and of rows with that id the smallest text hash.
 
-    Columns pass through unchanged. Rows without a doc_id come last in that order.
+    Columns pass through unchanged, whatever their names. Rows without a doc_id come last in that order.
     """
     order = ["doc_id", "_hash"]
     tagged = with_fingerprint(documents.select(F.col("doc_id"), F.col("text")), width, name="fp")
     rows = checkpointed(tagged.select("doc_id", F.xxhash64("text").alias("_hash"), "fp"))
     rooted = rows.join(classes(rows, bits).select("fp", "root"), "fp")
     first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "_hash")
-    keep = rooted.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("doc_id").alias("_kept_id"), F.col("_hash").alias("_kept_hash"))
-    hashed = documents.withColumn("_hash", F.xxhash64("text"))
-    kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    own, kept_id, kept_hash, n = (free_name(documents, c) for c in ("_hash", "_kept_id", "_kept_hash", "_n"))
+    keep = rooted.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("doc_id").alias(kept_id), F.col("_hash").alias(kept_hash))
+    hashed = documents.withColumn(own, F.xxhash64("text"))
+    kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash)), "left_semi")
     repeated = rows.groupBy(*order).count().where("count > 1").limit(1).count()
     if repeated:  # equal rows: one of them stays
-        again = Window.partitionBy(*order).orderBy(F.lit(0))
-        kept = kept.withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n")
-    return kept.drop("_hash")
+        again = Window.partitionBy("doc_id", own).orderBy(F.lit(0))
+        kept = kept.withColumn(n, F.row_number().over(again)).where(F.col(n) == 1).drop(n)
+    return kept.drop(own)

@@ -355,6 +355,21 @@ def test_odd_rows(odd, empty, name):
     assert OPERATORS[name](empty).count() == 0
 
 
+def test_clashing_names(spark, data, odd):
+    """No stage changes, drops or doubles a user's column, whatever its name; labels may be missing altogether."""
+    names = ["_row", "_row_again", "_hash", "_n", "_letters", "_spans", "_kept_id", "_kept_hash", "lang_pred", "score", "n_spans", "words_removed",
+             "rank", "others", "Item_ID"]
+    plain = odd.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for c in names})
+    for unlabelled in (False, True):
+        docs = plain.withColumn("lang", F.lit(None).cast("string")) if unlabelled else plain
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, data)
+            assert docs.columns == plain.columns
+        rows = docs.collect()
+        assert {r["doc_id"] for r in rows} == {None, 4, 6}
+        assert all(r[c] == c + ("?" if r["doc_id"] is None else str(r["doc_id"])) for r in rows for c in names)
+
+
 def test_pipeline(spark, data, odd):
     docs = odd
     for _, stage in corpus_pipeline.STAGES[:-1]:
