@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.config import DEFAULTS
-from gleanery.functions.vectors import ARROW, best_rows, matrix, order_keys, unit_rows
+from gleanery.functions.vectors import ARROW, best_rows, matrix, order_keys, undefined_products, unit_rows
 from gleanery.operators.ranking import top_k
 
 NUDGE = 1e-9  # moves cosines that are short binary fractions off the rounding boundary, where the last bit would decide
@@ -80,7 +80,7 @@ def _by_broadcast(base: DataFrame, query_rows: list, k: int, threshold: float, s
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = q @ unit_rows(matrix(batch.column(1))).T
+            scores = undefined_products(q, unit_rows(matrix(batch.column(1))))
             yield pa.RecordBatch.from_pydict(_emit(query_ids, scores, ids, k, threshold), schema=out)
 
     return base.mapInArrow(score, schema)
@@ -100,7 +100,7 @@ def _by_grid(base: DataFrame, queries: DataFrame, k: int, threshold: float, sche
             return pd.DataFrame({"query_id": [], "id": [], "raw": []})
         m = unit_rows(np.stack(vectors["embedding"].to_numpy()).astype(np.float64))
         q = unit_rows(np.stack(block["query_embedding"].to_numpy()).astype(np.float64))
-        return pd.DataFrame(_emit(block["query_id"].to_numpy(), q @ m.T, vectors["id"].to_numpy(), k, threshold))
+        return pd.DataFrame(_emit(block["query_id"].to_numpy(), undefined_products(q, m), vectors["id"].to_numpy(), k, threshold))
 
     return left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInPandas(cell, schema)
 

@@ -14,6 +14,7 @@ from gleanery.plans.retrieval import hybrid_retrieve
 from gleanery.sources.tables import table
 
 DIM = 64
+_HASHED = HashEmbedder(DIM, undefined=True)  # the statements divide by the norm, whatever it is
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -130,15 +131,15 @@ def embedding_cache_split(spark, d):
 
 
 def embed_documents(spark, d):
-    out = embed(_docs(spark, d).select("doc_id", "text"), HashEmbedder(DIM))
+    out = embed(_docs(spark, d).select("doc_id", "text"), _HASHED)
     return out.select("doc_id", F.posexplode("embedding").alias("d", "x")).where("x <> 0").select(
         "doc_id", F.col("d").cast("bigint"), F.round("x", 6).alias("x"))
 
 
 # --- fusion and reranking -------------------------------------------------------------------------
 def _dense_list(spark, d, k=20):
-    vectors = embed(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), HashEmbedder(DIM))
-    wanted = embed(_items(spark, d), HashEmbedder(DIM), "query_text")
+    vectors = embed(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), _HASHED)
+    wanted = embed(_items(spark, d), _HASHED, "query_text")
     return dense.search(vectors, wanted, k=k)
 
 
@@ -162,7 +163,7 @@ def rrf_boosted(spark, d):
 
 def hybrid_search(spark, d):
     docs = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
-    return hybrid_retrieve(docs, _named_items(spark, d), HashEmbedder(DIM), k=20).select(
+    return hybrid_retrieve(docs, _named_items(spark, d), _HASHED, k=20).select(
         "query_id", "id", "rank", "rrf_score", F.round("score", 7).alias("score"), "source")
 
 

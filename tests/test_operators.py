@@ -18,7 +18,7 @@ from gleanery.models import HashEmbedder, embed
 from gleanery.operators import (bm25, chunking, crawl, dense, dialogue, documents, evaluation, fusion, graph_build, graph_query,
                                 pages, prompts, rules)
 from gleanery.operators.textjoin import contains_pairs
-from gleanery.plans import etl_queries
+from gleanery.plans import etl_queries, search_queries
 from gleanery.plans.retrieval import hybrid_retrieve, search_counts
 from gleanery.sources import readers, sinks
 from gleanery.streaming.sessions import distinct_page_stream, session_stream
@@ -104,6 +104,33 @@ def test_deep_nesting():
     assert [k for k, _ in page.content()] == ["other", "paragraph"]
 
 
+def test_texts_whose_tokens_cancel_out(spark, tmp_path):
+    import hashlib
+
+    import duckdb
+
+    places = {}
+    for i in range(4000):
+        digest = hashlib.md5(f"w{i}".encode()).hexdigest()
+        places.setdefault(int(digest[:8], 16) % 64, ([], []))[int(digest[8], 16) % 2].append(f"w{i}")
+    plus, minus = zip(*((p[0], m[0]) for _, (p, m) in sorted(places.items())))
+    texts = [f"{plus[0]} {minus[0]}", f"{plus[1]} {minus[1]} {plus[2]} {minus[2]}", f"{plus[0]} {plus[3]}", f"{plus[1]} {minus[1]} {minus[4]}", "", None,
+             f"{minus[0]} {plus[5]} {plus[6]}"] + [f"{plus[i]} {minus[i + 1]}" for i in range(7, 40)]
+    items = [f"{plus[0]} {plus[3]}", f"{plus[1]} {minus[1]} {plus[7]}", f"{plus[2]} {minus[2]}", f"{plus[9]} {plus[10]}"]
+    for name, key, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    lost = 0
+    for name in ("embed_documents", "dense_text_search", "rrf_fuse", "hybrid_search"):
+        got, want = search_queries.QUERIES[name](spark, str(tmp_path)), con.sql(search_queries.ORACLES[name])
+        assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall())), name
+        lost += sum("nan" in repr(r) for r in want.fetchall())
+    assert lost
+    assert not np.isnan(HashEmbedder(64).encode(texts)).any()
+
+
 def test_titles_cut_inside_a_reference(spark, tmp_path):
     import duckdb
 
