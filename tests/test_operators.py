@@ -19,8 +19,10 @@ from gleanery.operators import (bm25, chunking, crawl, dense, dialogue, document
                                 pages, prompts, rules)
 from gleanery.operators.textjoin import contains_pairs
 from gleanery.plans import etl_queries, search_queries
+from gleanery.plans.site import site_documents
 from gleanery.plans.retrieval import hybrid_retrieve, search_counts
 from gleanery.sources import readers, sinks
+from gleanery.sources.tables import spread
 from gleanery.streaming.sessions import distinct_page_stream, session_stream
 
 
@@ -348,6 +350,18 @@ def test_history_honours_n(spark):
     assert (lines(), lines(n=6), lines(n=2)) == (4, 6, 2)
 
 
+def test_graph_of_stored_rows_with_few_properties(spark, data, tmp_path):
+    docs = site_documents(spark, data)
+    graph_build.extract_rows(docs).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    nodes, edges = graph_build.extract_graph(docs)
+    for properties in ((), ("title",), ("name", "credits", "level")):
+        few, links = graph_build.graph_of(rows, properties)
+        assert sorted(few.collect()) == sorted(nodes.select("label", "id", *properties).collect())
+    assert sorted(links.collect()) == sorted(edges.collect())
+    assert spread(docs, 1_000_000).rdd.getNumPartitions() == 40  # tasks follow the rows
+
+
 def test_guided_chunks_beyond_the_first_pages(spark):
     """A person and an area named only on late pages are found; ``pages`` gives the reference's cut."""
     nodes = spark.createDataFrame([(1, "Faculty", "ada late", 0), (2, "ResearchArea", "deep topics", 0)], "query_id int, label string, id string, hop int")
