@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,34 +98,58 @@ def _merge(parts: list[str], size: int, overlap: int) -> list[str]:
 
 
 # --- piece columns --------------------------------------------------------------------------------
+SLICE_CHARS = 1 << 20  # characters of text whose pieces a task holds at a time
+
+
+def text_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of texts with at most ``limit`` bytes, or one text, each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+        yield start, stop
+        start = stop
+
+
+def _piece_lists(rows: list[list[str]]) -> pa.Array:
+    sizes = [len(r) for r in rows]
+    pieces = pa.StructArray.from_arrays([pa.array([i for n in sizes for i in range(n)], pa.int32()),
+                                         pa.array([t for r in rows for t in r], pa.string())], ["i", "text"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pieces)
+
+
+def _pieces(cut: Callable[[str], list[str]], text: Column) -> Column:
+    """Array of (i, text) chunks that ``cut`` makes of a text; rows leave slice by slice, so that a full batch costs no more memory."""
+    @F.arrow_udf(_PIECES)
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for a, b in text_slices(texts):
+                yield _piece_lists([cut(t or "") for t in texts.slice(a, b - a).to_pylist()])
+
+    return split(text)
+
+
 def sentence_pieces(text: Column, reserved: Column, settings: Settings = DEFAULTS,
                     counter: Callable[[str], int] = count_tokens) -> Column:
     """Array of (i, text) chunks; ``reserved`` texts (title, url, type) count against the token budget."""
     size, overlap = settings.chunk_size, settings.chunk_overlap
 
-    @F.pandas_udf(_PIECES)
-    def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def cut(text_: str, meta: str) -> list[str]:
+        budget = max(size - counter(meta), overlap + 1)
+        return pack(split_sentences(text_, budget, counter), budget, overlap)
+
+    @F.arrow_udf(_PIECES)
+    def split(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, metas in batches:
-            rows = []
-            for t, m in zip(texts, metas):
-                budget = max(size - counter(m or ""), overlap + 1)
-                rows.append([{"i": i, "text": c} for i, c in enumerate(pack(
-                    split_sentences(t or "", budget, counter), budget, overlap))])
-            yield pd.Series(rows)
+            for a, b in text_slices(texts):
+                yield _piece_lists([cut(t or "", m or "") for t, m in zip(texts.slice(a, b - a).to_pylist(), metas.slice(a, b - a).to_pylist())])
 
     return split(text, reserved)
 
 
 def recursive_pieces(text: Column, settings: Settings = DEFAULTS) -> Column:
     size, overlap = settings.legacy_chunk_chars, settings.legacy_chunk_overlap
-
-    @F.pandas_udf(_PIECES)
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[{"i": i, "text": c} for i, c in enumerate(split_recursive(t or "", size, overlap))]
-                             for t in texts])
-
-    return split(text)
+    return _pieces(lambda t: split_recursive(t, size, overlap), text)
 
 
 def semantic_pieces(text: Column, embedder: Embedder, settings: Settings = DEFAULTS) -> Column:
@@ -143,12 +168,7 @@ def semantic_pieces(text: Column, embedder: Embedder, settings: Settings = DEFAU
         chunks = ("".join(sentences[a:b]).strip() for a, b in zip(bounds, bounds[1:]))
         return [c for c in chunks if c]
 
-    @F.pandas_udf(_PIECES)
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[{"i": i, "text": c} for i, c in enumerate(cut(t or ""))] for t in texts])
-
-    return split(text)
+    return _pieces(cut, text)
 
 
 # --- strategies -----------------------------------------------------------------------------------

@@ -350,6 +350,16 @@ def test_history_honours_n(spark):
     assert (lines(), lines(n=6), lines(n=2)) == (4, 6, 2)
 
 
+def test_pieces_leave_in_slices():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10, None, "", "b" * 25, "c" * 4, "d" * 5, "e"])
+    assert list(chunking.text_slices(texts, 10)) == [(0, 3), (3, 4), (4, 7)]
+    assert list(chunking.text_slices(texts.slice(3), 10)) == [(0, 1), (1, 4)] and list(chunking.text_slices(texts.slice(7), 10)) == []
+    assert chunking._piece_lists([["x", "y"], [], ["z"]]).to_pylist() == [
+        [{"i": 0, "text": "x"}, {"i": 1, "text": "y"}], [], [{"i": 0, "text": "z"}]]
+
+
 def test_graph_of_stored_rows_with_few_properties(spark, data, tmp_path):
     docs = site_documents(spark, data)
     graph_build.extract_rows(docs).write.parquet(f"{tmp_path}/rows")
