@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,12 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@lru_cache(maxsize=1)
+def encoder(tokenizer_path: str, ranks_path: str | None = None) -> Encoder:
+    """The encoder of a Python worker, built once for all of its tasks: what a task builds, the worker does not give back."""
+    return Encoder(tokenizer_path, ranks_path)
+
+
 def pieces(documents: DataFrame, tokenizer_path: str, ranks_path: str | None = None, capacity: int = CAPACITY,
            end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) per piece of at most ``capacity`` tokens.
@@ -72,7 +79,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, ranks_path: str | None = N
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
 
     def cut(batches):
-        encode = Encoder(tokenizer_path, ranks_path)
+        encode = encoder(tokenizer_path, ranks_path)
         for part in blocks(batches):
             rows, which, ids_out = [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):

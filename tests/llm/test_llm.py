@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanery.llm import decontaminate, language, neighbours, passages, queries, sharding, simhash, suffixes
+from gleanery.llm import decontaminate, language, neighbours, packing, passages, queries, sharding, simhash, suffixes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _row string, rank string, fp string, n string, key string"
 
@@ -379,3 +379,13 @@ def test_pipeline(spark, data, odd):
     assert {r.doc_id for r in kept} == {None, 4, 6}
     packed = corpus_pipeline.run(spark, data)
     assert packed.count() > 0 and packed.where("offset + length > 1024").count() == 0
+
+
+def test_a_worker_builds_its_encoder_once(monkeypatch):
+    built = []
+    monkeypatch.setattr(packing, "Encoder", lambda *paths: built.append(paths) or object())
+    packing.encoder.cache_clear()
+    try:
+        assert packing.encoder("a", "b") is packing.encoder("a", "b") and built == [("a", "b")]
+    finally:
+        packing.encoder.cache_clear()
