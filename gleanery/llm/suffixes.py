@@ -21,6 +21,8 @@ rows repeat each other's strings, so both lose them. An empty table gives no row
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -280,10 +282,15 @@ def marked(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
     wanted = kinds.join(several.select("anchor"), "anchor")
     hot = checkpointed(wanted.groupBy("anchor").agg(F.sum("own.size").alias("bytes")).where(F.col("bytes") > hot_bytes).select("anchor"))
 
+    def packed(batches):  # texts are compressed before they are exchanged
+        for part in blocks(batches):
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_row"), pa.array([zlib.compress(t.encode(), 1) for t in part.column("text").to_pylist()], pa.binary())], names=["_row", "packed"])
+
     def fetched(batches):
         for batch in batches:
-            for text, wants in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                raw = (text or "").encode()
+            for packed, wants in zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist()):
+                raw = zlib.decompress(packed)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w[k] for w in wants], pa.int64()) for k in ("anchor", "d1", "d2")]
                     + [pa.array([raw[w["start"]:w["start"] + w["size"]] for w in wants], pa.binary())],
@@ -291,7 +298,8 @@ def marked(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
 
     def pieces(of: DataFrame) -> DataFrame:
         lists = of.groupBy("own._row").agg(F.collect_list(F.struct("own.start", "own.size", "anchor", "d1", "d2")).alias("wanted"))
-        return documents.join(lists, "_row").select("text", "wanted").mapInArrow(fetched, "anchor long, d1 long, d2 long, bytes binary")
+        texts = documents.where(F.octet_length("text") >= length).select("_row", "text").mapInArrow(packed, "_row long, packed binary")
+        return texts.join(lists, "_row").select("packed", "wanted").mapInArrow(fetched, "anchor long, d1 long, d2 long, bytes binary")
 
     def shard(batches):
         held: list[tuple] = []
@@ -322,9 +330,9 @@ def marked(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
              .mapInArrow(shard, "anchor long, d1 long, d2 long, a long, b long"))
     if any_hot:
         inner = inner.union(repeated_windows(pieces(wanted.join(hot, "anchor")), length))
-    keys = ["anchor", "d1", "d2"]
+    keys = ["d1", "d2"]  # a piece's bytes decide its anchor, which need not be exchanged again
     copied = kinds.where("n > 1").select(*keys, F.lit(0).cast("long").alias("a"), F.col("own.size").alias("b"))
-    spans = hits.join(copied.union(inner), keys).select("_row", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"))
+    spans = hits.join(copied.union(inner.drop("anchor")), keys).select("_row", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"))
     return spans.groupBy("_row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
