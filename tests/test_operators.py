@@ -560,3 +560,15 @@ def test_state_agrees_with_session(spark, data):
     for r in dialogue.session_states(turns).collect():
         last[r.conv_id] = max(last.get(r.conv_id, (-1, 0)), (r.turn, r.kept_turns))
     assert {r.conv_id: r.turns for r in dialogue.state_summary(turns).collect()} == {c: k for c, (_, k) in last.items()}
+
+
+def test_related_people_common_topic(spark):
+    """A topic of many courses and many people: no course meets more than k people of it, and the first by name are right."""
+    covers = [(f"c{c:03}", "COVERS", t) for c in range(60) for t in ("hub", f"t{c % 7}")]
+    research = [(f"p{p:03}", "RESEARCHES", t) for p in range(80) for t in ("hub" if p > 2 else "none", f"t{p % 11}")]
+    found = graph_query.related_people(spark.createDataFrame(covers + research + research[:9], "src string, rel string, dst string"), 3)
+    want = {(c, p) for c in {x[0] for x in covers}
+            for p in sorted({p for p, _, t in research if (c, "COVERS", t) in covers})[:3]}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" in plan[plan.index("Join Inner"):]  # people are limited within their topic before they meet courses
