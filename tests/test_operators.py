@@ -572,3 +572,14 @@ def test_related_people_common_topic(spark):
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" in plan[plan.index("Join Inner"):]  # people are limited within their topic before they meet courses
+
+
+def test_site_rows_are_not_filtered_by_names(spark, data):
+    """The test for a name must not be inferred for lineitem, where it would run on every row."""
+    plan = graph_build.extract_rows(site_documents(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "Ada" in line]
+    docs = site_documents(spark, data, "faculty").withColumn("title", F.when(F.col("doc_no") % 16 == 1, "").otherwise(F.col("title")))
+    rows = graph_build.extract_rows(docs).collect()
+    nameless = [r for r in rows if r.doc_no % 16 == 1]
+    assert 0 < len(nameless) < len(rows) and not any(r.mentions or r.links for r in nameless)
+    assert all(r.mentions and r.links for r in rows if r not in nameless)
