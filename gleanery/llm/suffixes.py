@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import blocks, checkpointed, text_bytes
+from gleanery.llm.common import blocks, stored, text_bytes
 
 LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 1 << 20
+CUT_BYTES = 1 << 18  # texts are cut in blocks of so many bytes: their arrays stay in the processor's cache
 HOT_BYTES = 4 << 20  # an anchor whose different pieces have more bytes is settled window by window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,24 +148,35 @@ def permuted_prefixes(s: np.ndarray, array: np.ndarray, room: np.ndarray, limit:
     ``room`` is the number of symbols a suffix may use; prefixes end there.
     """
     a, b = array[:-1], array[1:]
-    common = np.zeros(len(a), np.int64)
     most = np.minimum(np.minimum(room[a], room[b]), limit)
+    follower, cap = np.full(len(s), -1, np.int64), np.zeros(len(s), np.int64)
+    follower[a], cap[a] = b, most
+    # where the next suffix's neighbour is the next one's too, a prefix is one longer than the next: only ends of such runs are compared
+    inner = np.append((follower[1:] == follower[:-1] + 1) & (follower[:-1] >= 0), False)
     four = np.zeros(len(s), np.uint64)  # a suffix's first four symbols, compared at once while there is room
     for k in range(4):
-        four[:len(s) - k] |= s[k:].astype(np.uint64) << np.uint64(16 * k)
-    live = np.flatnonzero(most >= 4)
+        four[:max(0, len(s) - k)] |= s[k:].astype(np.uint64) << np.uint64(16 * k)
+    common = np.zeros(len(s), np.int64)
+    at = np.flatnonzero(~inner & (follower >= 0))
+    live = at[cap[at] >= 4]
     while len(live):
         k = common[live]
-        live = live[four[a[live] + k] == four[b[live] + k]]
+        live = live[four[live + k] == four[follower[live] + k]]
         common[live] += 4
-        live = live[common[live] + 4 <= most[live]]
-    live = np.flatnonzero(common < most)
+        live = live[common[live] + 4 <= cap[live]]
+    live = at[common[at] < cap[at]]
     while len(live):
         k = common[live]
-        same = s[a[live] + k] == s[b[live] + k]
-        live = live[same]
+        live = live[s[live + k] == s[follower[live] + k]]
         common[live] += 1
-        live = live[common[live] < most[live]]
+        live = live[common[live] < cap[live]]
+    stop = ~inner
+    within = np.flatnonzero(inner)
+    stop[within[s[within] != s[follower[within]]]] = True  # the prefix ends at a difference or at the run's end
+    stop = np.flatnonzero(stop)
+    end = stop[np.searchsorted(stop, within)]
+    common[within] = np.minimum(end - within + common[end], cap[within])
+    common = common[a]
     out = np.zeros(len(s), np.int64)
     out[a] = common
     out[b] = np.maximum(out[b], common)
@@ -226,11 +238,14 @@ def cut(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     new[1:] &= (least[1:] != least[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     last = np.minimum(np.append(first[1:], len(least)) - 1, offsets[row[first] + 1] - length)
-    seen = np.zeros(len(first), np.int64)
-    places = last - first + length - gram + 1
-    for j in range(2 * (length - gram + 1)):
-        seen += (whole[np.minimum(first + j, n - 1)] == least[first]) & (j < places)
-    again = (seen > 1) | (places > 2 * (length - gram + 1))
+    spans = np.lib.stride_tricks.sliding_window_view(whole, length - gram + 1)
+    again = np.zeros(len(first), bool)
+    for k in range(0, len(first), 4096):  # the anchor's first place, in the first window, and its last, in the last one
+        at = slice(k, k + 4096)
+        value = least[first[at]][:, None]
+        leftmost = first[at] + (spans[first[at]] == value).argmax(1)
+        rightmost = last[at] + length - gram - (spans[last[at], ::-1] == value).argmax(1)
+        again[at] = leftmost < rightmost
     return row[first], first - offsets[row[first]], last - first + length, least[first].view(np.int64), again
 
 
@@ -253,7 +268,7 @@ def repeated_windows(pieces: DataFrame, length: int) -> DataFrame:
                     [part.column(k).take(of) for k in ("anchor", "d1", "d2")] + [pa.array(x) for x in (np.concatenate(at), pair[:, 0].copy(), pair[:, 1].copy())],
                     names=["anchor", "d1", "d2", "a", "w1", "w2"])
 
-    every = checkpointed(pieces.mapInArrow(listed, "anchor long, d1 long, d2 long, a long, w1 long, w2 long"))
+    every = stored(pieces.mapInArrow(listed, "anchor long, d1 long, d2 long, a long, w1 long, w2 long"))
     several = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     return every.join(several, ["w1", "w2"]).select("anchor", "d1", "d2", "a", (F.col("a") + length).alias("b"))
 
@@ -262,7 +277,7 @@ def marked(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
     """_row and spans (start, stop) of the repeated strings of documents(_row, text)."""
 
     def listed(batches):
-        for part in blocks(batches):
+        for part in blocks(batches, limit=CUT_BYTES):
             data, offsets = text_bytes(part.column("text"))
             row, start, size, anchor, again = cut(data, offsets, length, gram)
             raw = data.tobytes()
@@ -273,14 +288,14 @@ def marked(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
                  pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(again)],
                 names=["_row", "start", "size", "anchor", "d1", "d2", "again"])
 
-    found = checkpointed(documents.mapInArrow(listed, "_row long, start long, size long, anchor long, d1 long, d2 long, again boolean"))
+    found = stored(documents.mapInArrow(listed, "_row long, start long, size long, anchor long, d1 long, d2 long, again boolean"))
     shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again")
-    hits = checkpointed(found.drop("again").join(shared.select("anchor", "again"), "anchor"))
-    kinds = checkpointed(hits.groupBy("anchor", "d1", "d2").agg(
+    hits = stored(found.drop("again").join(shared.select("anchor", "again"), "anchor"))
+    kinds = stored(hits.groupBy("anchor", "d1", "d2").agg(
         F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.min(F.struct("_row", "start", "size")).alias("own")))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("again")).where("kinds > 1 or again")
     wanted = kinds.join(several.select("anchor"), "anchor")
-    hot = checkpointed(wanted.groupBy("anchor").agg(F.sum("own.size").alias("bytes")).where(F.col("bytes") > hot_bytes).select("anchor"))
+    hot = stored(wanted.groupBy("anchor").agg(F.sum("own.size").alias("bytes")).where(F.col("bytes") > hot_bytes).select("anchor"))
 
     def packed(batches):  # texts are compressed before they are exchanged
         for part in blocks(batches):

@@ -43,6 +43,25 @@ def test_suffix_array():
             assert suffixes.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_prefixes_and_cuts():
+    """Shards of any size, against symbol by symbol; an anchor counts as repeated if its string starts twice in its piece."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        parts = [bytes(rng.integers(0, 3, rng.integers(0, 40)).astype(np.uint8)) * int(rng.integers(1, 3)) for _ in range(rng.integers(1, 7))]
+        length = int(rng.integers(2, 12))
+        seen = Counter(p[i:i + length] for p in parts for i in range(len(p) - length + 1))
+        flags = suffixes.repeated_starts(parts, length)
+        assert [f.tolist() for f in flags] == [[seen[p[i:i + length]] > 1 for i in range(len(p) - length + 1)] for p in parts]
+        raw, offsets = b"".join(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+        found = suffixes.cut(np.frombuffer(raw, np.uint8), offsets, length, 2)
+        for row, start, size, _, again in zip(*found):
+            piece = parts[row][start:start + size]
+            grams = [piece[i:i + 2] for i in range(size - 1)]
+            common = set.intersection(*({piece[j + i:j + i + 2] for i in range(length - 1)} for j in range(size - length + 1)))
+            assert again == (max(grams.count(g) for g in common) > 1) or len(common) > 1
+    assert [f.tolist() for f in suffixes.repeated_starts([b"a"], 1)] == [[False]]
+
+
 def removed(rows, length):
     seen = Counter()
     for _, t in rows:
