@@ -207,6 +207,23 @@ def test_passages_after_fragments(spark):
         assert found[d].words_removed >= len(gone) and (found[d].words_removed > 0) == (len(gone) > 0), d
 
 
+def test_passages_exact_by_piece(spark):
+    """Exact repeats in different surroundings: the words of brute force, in far fewer rows than there are repeated windows."""
+    rng = np.random.default_rng(9)
+    line = words(rng, 400, 10_000)
+    docs = [(d, words(rng, 30, 10_000) + line[40 * (d % 5):] + words(rng, 30, 10_000) + line[:60] * (d % 3)) for d in range(12)]
+    rows = spark.createDataFrame([(d, d, " ".join(w)) for d, w in docs], "_row long, rank long, text string")
+    got = passages.exact_repeats(rows, 5, 50).collect()
+    seen, count = set(), 0
+    for d, w in docs:
+        mine = [tuple(w[i:i + 50]) for i in range(len(w) - 49)]
+        count += sum(x in seen for x in mine)
+        gone = {i + j for i, x in enumerate(mine) if x in seen for j in range(50)}
+        seen.update(mine)
+        assert {i for r in got if r._row == d for i in range(r.start, r.stop)} == gone, d
+    assert len(got) < count / 4
+
+
 def test_stretches():
     """Near copies beside strays and edited tails, and random patterns, against all sub-ranges."""
     rng = np.random.default_rng(6)
