@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,51 @@ def test_blocks_of_equal_lengths(spark):
     assert sum(sizes) == 1000 and max(sizes) <= 40
 
 
+def shuffle_bytes(spark) -> int:
+    files, total = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), 0
+    while files.hasNext():
+        f = files.next()
+        total += f.length() if f.getName().startswith("shuffle_") else 0
+    return total
+
+
+def test_block_index_leaves_no_shuffles(spark, tmp_path):
+    """What building and planning exchange is dropped step by step; every posting is exchanged once."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(3000))) for k in range(60)]).alias("text"))
+    asked = docs.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    before = shuffle_bytes(spark)
+    index = blockmax.build(docs, str(tmp_path))
+    assert shuffle_bytes(spark) - before < 100_000
+    blockmax.planned(index, asked, 5)
+    assert shuffle_bytes(spark) - before < 100_000
+    want = sorted(map(tuple, bm25.search(docs, asked, k=5, boost=False).collect()))
+    assert sorted(map(tuple, blockmax.search(index, asked, k=5).collect())) == want
+
+
+def test_block_index_exchanges_postings_once(spark, data):
+    docs = table(spark, data, "documents").select("doc_id", blockmax.T.tokens(F.col("text")).alias("tokens"))
+    lengths = docs.select("doc_id", F.size("tokens").alias("dl"))
+    postings = blockmax.placed_postings(docs, lengths, None, 64)
+    rows = blockmax.block_rows(postings, F.col("tf") / F.col("dl"), 64, 8)
+    tree = plan_of(rows).split("\n\n")[0]
+    counted = tree[:tree.index("MapInArrow")]
+    assert counted.count("Exchange") == 1, tree
+    assert rows.agg(F.sum(F.size("docs"))).first()[0] == docs.select(F.sum(F.size(F.array_distinct("tokens")))).first()[0]
+
+
+def test_block_index_of_repeated_ids(spark, tmp_path):
+    """Rows equal in id and length are one document with the terms of all; its postings lie in the block of each of its rows."""
+    texts = [(1, "alpha beta beta"), (1, "alpha beta beta"), (2, "beta gamma"), (2, "delta beta delta beta"), (None, "alpha"), (3, None), (4, "gamma gamma alpha")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    index = blockmax.build(docs, str(tmp_path), block_docs=1)
+    lists = index.blocks.select("term", F.explode(F.arrays_zip("docs", "impacts")).alias("x")).select("term", "x.docs", F.round("x.impacts", 6)).collect()
+    counts = Counter((d, len(t.split()), w) for d, t in texts if d and t for w in t.split())
+    rows = Counter(d for d, _ in texts)
+    average = sum(len((t or "").split()) for _, t in texts) / len(texts)
+    want = [(w, d, round(n * 2.5 / (n + 1.5 * (0.25 + 0.75 * dl / average)), 6)) for (d, dl, w), n in counts.items() for _ in range(rows[d])]
+    assert sorted(map(tuple, lists)) == sorted(want)
+
+
 @pytest.fixture
 def collection(spark, tmp_path):
     rows = [(i, [float(i), 1.0], ("faculty", "course", None)[i % 3], f"s{i % 2}", "atomic") for i in range(60)]
