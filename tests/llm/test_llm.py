@@ -224,6 +224,75 @@ def test_passages_exact_by_piece(spark):
     assert len(got) < count / 4
 
 
+def test_passages_near_copies_after_fragments(spark):
+    """Edited copies go although earlier rows hold their halves, so that the first row of their keys is another one."""
+    rng = np.random.default_rng(12)
+    docs, copies = [], {}
+    for t in range(40):
+        copy = [f"t{t}w{k}" for k in rng.integers(0, 10_000, 80)]
+        edited = list(copy)
+        edited[int(rng.integers(30, 50))] = "other"
+        for part in (copy[:40], copy[40:], copy, edited):
+            docs.append((len(docs), words(rng, 60, 10_000) + part + words(rng, 60, 10_000)))
+        copies[len(docs) - 1] = 80
+    found = {r.doc_id: r.words_removed for r in passages.removed(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")).collect()}
+    assert {d: n for d, n in found.items() if n} == copies
+
+
+def test_passages_near_copies_of_a_crowd(spark, monkeypatch):
+    """Rows with one line in common, and copies of some of them: every copy goes, in as many rounds as it takes."""
+    monkeypatch.setattr(passages, "ROUND_SOURCES", 1)
+    rng = np.random.default_rng(13)
+    line = words(rng, 30, 10_000)
+    docs = [(d, words(rng, 60, 10_000) + line + words(rng, 60, 10_000)) for d in range(60)]
+    for d in range(0, 60, 6):
+        edited = list(docs[d][1][30:120])
+        edited[20], edited[70] = "other", "words"
+        docs.append((len(docs), words(rng, 40, 10_000) + edited + words(rng, 40, 10_000)))
+    found = {r.doc_id: r.words_removed for r in passages.removed(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")).collect()}
+    assert found == {d: 90 if d >= 60 else 0 for d, _ in docs}
+
+
+def test_distinct_counts():
+    rng = np.random.default_rng(15)
+    values, row = rng.integers(0, 12, 200), np.repeat([0, 1, 2], [90, 10, 100])
+    ends = np.searchsorted(row, row, "right")
+    want = [len(set(values[i:min(i + 20, ends[i])].tolist())) for i in range(200)]
+    assert passages.distinct_counts(values, row, 20).tolist() == want
+
+
+def test_passages_near_copies_of_repetitive_rows(spark):
+    """An edited copy of a line said over and over, under keys that other rows hold first."""
+    rng = np.random.default_rng(16)
+    line = words(rng, 9, 10_000)
+    docs = [(d, words(rng, 60, 10_000) + line * 3 + words(rng, 60, 10_000)) for d in range(8)]
+    copy = words(rng, 12, 10_000) + line * 6 + words(rng, 12, 10_000)
+    edited = list(copy)
+    edited[40] = "other"
+    docs += [(8, words(rng, 60, 10_000) + copy + words(rng, 60, 10_000)), (9, words(rng, 60, 10_000) + edited + words(rng, 60, 10_000))]
+    found = {r.doc_id: r.words_removed for r in passages.removed(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")).collect()}
+    assert found[9] == len(edited) and not any(found[d] for d in range(8))
+
+
+def test_key_matches():
+    """Sketches of a key in small tiles against all pairs, in rounds."""
+    rng = np.random.default_rng(14)
+    row, free = np.sort(rng.integers(0, 25, 60)), rng.random(60) < 0.7
+    sketch = rng.integers(0, 1 << 62, (60, 2)).astype(np.uint64)
+    bits = [[bin(int(a & b)).count("1") + bin(int(c & d)).count("1") for (b, d) in sketch] for (a, c) in sketch]
+    want = {(t, s) for t in range(60) for s in range(60) if free[t] and row[s] < row[t] and bits[t][s] >= 33}
+    got, begin, end = [], 0, 2
+    while True:
+        some = list(passages.key_matches(row, free, sketch, np.full(60, 33), begin, end))
+        got += [(t, s) for t, s, _ in some]
+        if not any(more for *_, more in some):
+            break
+        begin, end = end, end + 3
+    assert len(got) == len(set(got)) and set(got) == want
+    best = next(t for t, s in want)
+    assert bits[best][next(s for t, s in got if t == best)] == max(bits[best][s] for t, s in want if t == best)
+
+
 def test_stretches():
     """Near copies beside strays and edited tails, and random patterns, against all sub-ranges."""
     rng = np.random.default_rng(6)
